@@ -22,15 +22,20 @@ from .common import table, unsigned_crc
 
 #: The bound of the fitted sample, for each language.
 DICTIONARY_BYTES = 110 << 10
-EXCERPT = 4000
-LEVEL = 3
+EXCERPT = 1000
+LEVEL = 6
 #: Saved bytes, as a share of the smallest encoding, under which the answer counts as rejected.
 MARGIN = 0.01
-_LETTER = re.compile(r"[^\W\d_]")
+_OTHERS = re.compile(r"[\W\d_]+")
 #: Texts are compared by blocks of so many bytes: a window as long as the dictionary would learn the text itself.
 BLOCK = 1 << 14
 
 
+def letters(text: str) -> bytes:
+    """Small letters and single spaces: what is left of a text once case, digits and marks no longer tell."""
+    return _OTHERS.sub(" ", text.lower()).strip().encode()
+
+
 def dictionaries(docs: DataFrame, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """docs: text, lang, doc_id. At most size bytes of text a language come to the driver."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, EXCERPT).alias("text"))
@@ -42,7 +47,7 @@ def dictionaries(docs: DataFrame, size: int = DICTIONARY_BYTES) -> dict[str, byt
     got = near.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < size).select("lang", "h", "text").collect()
     out: dict[str, bytes] = {}
     for row in sorted(got, key=lambda r: (r["lang"], r["h"], r["text"])):
-        out[row["lang"]] = (out.get(row["lang"], b"") + row["text"].encode() + b"\n")[:size]
+        out[row["lang"]] = (out.get(row["lang"], b"") + letters(row["text"]) + b" ")[:size]
     return out
 
 
@@ -63,10 +68,10 @@ def identify(docs: DataFrame, content: dict[str, bytes], margin: float = MARGIN)
         for pdf in batches:
             rows = []
             for text in pdf["text"]:
-                if not each or not isinstance(text, str) or not _LETTER.search(text):
+                raw = letters(text) if isinstance(text, str) else b""
+                if not each or not raw:
                     rows.append(("und", 0.0, True))
                     continue
-                raw = text.encode()
                 blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
                 sizes = [sum(len(c.compress(b)) for b in blocks) for _, c in each]
                 order = sorted(range(len(each)), key=lambda k: (sizes[k], k))
