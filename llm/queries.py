@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import language_id, quality_classifier, quality_rules
+from . import byte_bpe, language_id, packing, quality_classifier, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_language_id": language_id.op8_language_id,
 }
