@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, language_id, packing, quality_classifier, quality_rules
+from . import byte_bpe, language_id, line_dedup, packing, quality_classifier, quality_rules, topk
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_topk": topk.op5_topk,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_language_id": language_id.op8_language_id,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": line_dedup.SQL, "op5_topk": topk.SQL}
