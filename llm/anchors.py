@@ -18,6 +18,18 @@ def slide(x: np.ndarray, size: int, best: np.ufunc) -> np.ndarray:
     return x
 
 
+def slide_first(x: np.ndarray, size: int) -> np.ndarray:
+    """Where the first of the least values of x[i : i + size] is, for each i where that is whole."""
+    at, have = np.arange(len(x)), 1
+    while have < size:
+        step = min(have, size - have)
+        left = x[:-step] <= x[step:]
+        at = np.where(left, at[:-step], at[step:])
+        x = np.where(left, x[:-step], x[step:])
+        have += step
+    return at
+
+
 def anchors(hashes: np.ndarray, doc: np.ndarray, span: int) -> np.ndarray:
     """Places of anchors among the k-gram hashes of documents one after the other; doc is the document of each.
     Documents with fewer k-grams than span have none."""

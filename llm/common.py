@@ -51,6 +51,8 @@ def saved(df: DataFrame) -> DataFrame:
     if not _written:
         atexit.register(_drop)
     _written.append((spark, path))
+    # shuffle files of the finished job go as soon as the driver knows that nothing refers to them
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -102,11 +104,11 @@ def pieces(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
-def map_text(df: DataFrame, f: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], dict], schema: str, column: str = "text") -> DataFrame:
+def map_text(df: DataFrame, f: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], dict], schema, column: str = "text", limit: int = PIECE_BYTES) -> DataFrame:
     """Runs f(piece, bytes, offsets) -> columns over pieces of df."""
 
     def run(batches):
-        for piece in pieces(batches, column):
+        for piece in pieces(batches, column, limit):
             yield to_batch(f(piece, *utf8(piece.column(column))))
 
     return df.mapInArrow(run, schema)

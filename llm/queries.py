@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules, substring_dedup, topk
+from . import byte_bpe, jaccard_join, language_id, line_dedup, packing, quality_classifier, quality_rules, substring_dedup, suffix_dedup, topk
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
+    "op3_suffix_dedup": suffix_dedup.op3_suffix_dedup,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_topk": topk.op5_topk,
     "op6_byte_bpe": byte_bpe.op6_byte_bpe,
