@@ -21,9 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, map_text, saved, table, unsigned_crc
+from .common import SPACE, map_text, pieces, saved, table, unsigned_crc, utf8
 from .quality_rules import BARS, LETTERS, MARKS, SYMBOLS, UPPER, Lines
 
+THRESHOLD = 0.3
 FEATURES = (
     "words", "word_length", "symbols", "exclamations", "bars", "capitals", "repeats", "echoes", "line_length", "stops", "commas", "digits", "wide", "repeated_lines", "marks",
 )
@@ -130,11 +131,33 @@ def one_label(labels: DataFrame, column: str = "quality") -> DataFrame:
     return labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(column).alias("label"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of docs. Every fifth document by crc32 of its id is held out."""
-    x = saved(features(docs)).withColumn("held_out", F.coalesce(unsigned_crc("doc_id") % 5 == 0, F.lit(True)))
-    train = x.where(~F.col("held_out")).dropDuplicates(["doc_id"]).join(one_label(labels), "doc_id").select("x", "label")
-    return score(x, fit(train)).select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+def train(x: DataFrame, labels: DataFrame) -> Discriminant | float:
+    """Fits on features x (doc_id, x) of the folds that are not held out: every fifth document by crc32 of its id is."""
+    rows = x.where(~held_out()).dropDuplicates(["doc_id"]).join(one_label(labels), "doc_id")
+    return fit(rows.select("x", "label"))
+
+
+def held_out() -> F.Column:
+    return F.coalesce(unsigned_crc("doc_id") % 5 == 0, F.lit(True))
+
+
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of docs."""
+    x = saved(features(docs))
+    return score(x, train(x, labels)).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text scores at least the threshold."""
+    model = train(saved(features(docs)), labels)
+
+    def good(batches):
+        for piece in pieces(batches):
+            x = statistics(*utf8(piece.column("text")))
+            scores = np.full(len(x), model) if isinstance(model, float) else model.scores(x)
+            yield piece.filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(good, docs.schema)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
