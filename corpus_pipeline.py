@@ -1,10 +1,54 @@
-"""The corpus pipeline: stages over documents, each written and read again as the input of the next."""
+"""The corpus pipeline: each stage works on all that the one before kept, written and read again in between.
+
+All but the last return the columns of documents; the last returns the packed pieces of what is left. SQL cannot
+express the classifier, the joins' components or the tokenizer; tests hold every stage against a brute-force version.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+
+from llm import jaccard_join, line_dedup, packing, quality_classifier, suffix_dedup
+from llm.common import saved, table
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the boilerplate lines of their sources."""
+    return line_dedup.dedup_documents(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is linked by five-word shingles at a similarity of 0.8."""
+    return jaccard_join.one_of_each(docs, size=5, percent=80)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings of 100 bytes that start earlier."""
+    return suffix_dedup.remove_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents, packed into sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_copies),
+    ("suffix-array dedup", repeats),
+    ("best-fit packing", pack),
+]
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, saved(docs) if k else docs, sf_dir)
+    return docs
