@@ -96,14 +96,16 @@ _add("dummy", lambda s, d: shown(dummy_cube(s, Grid.of({"left": 0, "right": 4, "
 
 # products of all values overflow doubles: they are taken of values near one
 _NEAR_ONE = "(1 + value / 1000000)"
+# a root is no short decimal, whose mean could be a tie when rounded
+_ROOT = "sqrt(abs(value) / 7)"
 for _r in R.REDUCE:
-    _v = _NEAR_ONE if _r == "prod" else "value"
+    _v = {"prod": _NEAR_ONE, "mean": _ROOT}.get(_r, "value")
     _add(
         f"rt_{_r}", lambda s, d, r=_r, v=_v: shown(cube_e(s, d).apply_pixel(v, "v").reduce_time(f"{r}(v)", names=["out"])),
         _sql(E_SQL, "0;iy;ix", {"out": _AGG[_r].format(v=_v)}, "FROM c GROUP BY iy, ix"),
     )
 for _r in R.SPACE:
-    _v = _NEAR_ONE if _r == "prod" else "value"
+    _v = {"prod": _NEAR_ONE, "mean": _ROOT}.get(_r, "value")
     _add(
         f"rs_{_r}", lambda s, d, r=_r, v=_v: shown(cube_e(s, d).apply_pixel(v, "v").reduce_space(f"{r}(v)", names=["out"])),
         _sql(E_SQL, "it;0;0", {"out": _AGG[_r].format(v=_v)}, "FROM c GROUP BY it"),
@@ -161,8 +163,7 @@ for _r in R.WINDOW_TIME:
 _add("wt_kernel", lambda s, d: shown(cube_e(s, d).select_bands("value").window_time(kernel=[0.25, 0.5, 0.25])), _sql(E_SQL, "it;iy;ix", {"value": "0.25 * lag(value) OVER w + 0.5 * value + 0.25 * lead(value) OVER w"}, "FROM d WINDOW w AS (PARTITION BY iy, ix ORDER BY it)"))
 _NEAR = "FROM g JOIN c ON c.it = g.it AND abs(c.iy - g.iy) <= 1 AND abs(c.ix - g.ix) <= 1 GROUP BY g.it, g.iy, g.ix"
 for _r in R.WINDOW_SPACE:
-    # the root of a value is no short decimal, whose mean could be a tie when rounded
-    _v = "(1 + value / 1000000)" if _r == "prod" else "sqrt(abs(value) / 7)"
+    _v = _NEAR_ONE if _r == "prod" else _ROOT
     _w = {"sum": f"coalesce(sum({_v}), 0)", "prod": f"coalesce(product({_v}), 1)"}.get(_r, _AGG[_r].format(v=_v))
     _left = _NEAR.replace("JOIN c", "LEFT JOIN c") if _r in ("sum", "count", "prod") else _NEAR
     _add(
@@ -259,15 +260,15 @@ def _catalogue(spark: SparkSession, d: str) -> Collection:
 
 
 def _pixels(spark: SparkSession, d: str) -> DataFrame:
-    """A pixel for each customer of an image: the sum of the orders, and the day of the last as quality."""
+    """A pixel for each customer of an image: the root of the largest order, and the day of the last as quality."""
     o = read(spark, d, "orders").where("o_orderdate >= '1995-01-01' AND o_orderdate < '1996-01-01'")
     k = F.col("o_custkey")
-    g = o.groupBy((F.month("o_orderdate") * 7 + k % 7).cast("int").alias("image_id"), k.alias("k")).agg(F.max("o_totalprice").alias("total"), F.max(F.dayofmonth("o_orderdate")).cast("double").alias("quality"))
+    g = o.groupBy((F.month("o_orderdate") * 7 + k % 7).cast("int").alias("image_id"), k.alias("k")).agg(F.sqrt(F.max("o_totalprice") / 7).alias("total"), F.max(F.dayofmonth("o_orderdate")).cast("double").alias("quality"))
     x, y = F.col("k") % 97 / 9.7, F.col("k") % 49 / 9.8
     return g.select("image_id", x.alias("x"), y.alias("y"), F.explode(F.array(F.struct(F.lit("total").alias("b"), F.col("total").alias("v")), F.struct(F.lit("quality").alias("b"), F.col("quality").alias("v")))).alias("p")).select("image_id", F.col("p.b").alias("band_name"), "x", "y", F.col("p.v").alias("value"))
 
 
-_I_SQL = """WITH o AS (SELECT month(o_orderdate) * 7 + o_custkey % 7 AS id, o_custkey AS k, min(month(o_orderdate)) AS m, max(o_totalprice) AS total, CAST(max(day(o_orderdate)) AS DOUBLE) AS quality
+_I_SQL = """WITH o AS (SELECT month(o_orderdate) * 7 + o_custkey % 7 AS id, o_custkey AS k, min(month(o_orderdate)) AS m, sqrt(max(o_totalprice) / 7) AS total, CAST(max(day(o_orderdate)) AS DOUBLE) AS quality
   FROM orders WHERE o_orderdate >= '1995-01-01' AND o_orderdate < '1996-01-01' GROUP BY 1, 2),
 r AS (SELECT (m - 1) // 3 AS it, id, CAST(floor((k % 97) / 9.7) AS BIGINT) AS ix, CAST(floor(5 - (k % 49) / 9.8) AS BIGINT) AS iy, total, quality, k FROM o),
 v AS (SELECT it, iy, ix, id, avg(total) AS total FROM r WHERE iy BETWEEN 0 AND 4 AND ix BETWEEN 0 AND 9 GROUP BY ALL)
