@@ -7,8 +7,8 @@ a star, and no pair need be verified.
 
 Heavy sets: inverted lists are scanned. The universe is divided into d + 1 parts, where d is the largest symmetric
 difference that linked sets of a size class can have; linked sets agree on a whole part at least, so lists are kept
-by part content. A list's owners are held against one of them, the one that shares most lists; only owners that this
-leaves in different components are then compared among themselves. Counts of equal elements are exact.
+by part content; there are some parts more, as many as an owner leaves out of its most common. A list's owners are held against one of them, for some rounds; only owners that this leaves in different
+components, and that share enough lists, are then compared among themselves. Counts of equal elements are exact.
 
 The boundary between the two is chosen by cost: the largest size whose subsets are no more than its parts, with what
 a verification costs.
@@ -28,16 +28,20 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_hash, map_text, mix, runs, saved, table, words
+from .common import LOWER, byte_hash, discard, map_text, mix, runs, saved, table, words
 from .graph import components
 
 SIZE = 3
 PERCENT = 90
 #: What verifying a heavy set costs, in subsets enumerated.
 VERIFY_COST = 64
+#: Rounds in which a list's owners are held against one of them, before all that are still apart are compared.
+ROUNDS = 4
+#: Size classes that a key has room for.
+LEVELS = 128
 _U = np.uint64
 
 
@@ -109,6 +113,11 @@ def parts_of(largest: int, percent: int = PERCENT) -> int:
     return 2 * largest * (100 - percent) // (100 + percent) + 1
 
 
+def spare_of(largest: int, percent: int = PERCENT) -> int:
+    """Parts beyond those: linked sets agree on so many parts and one, so that each may leave out its most common."""
+    return parts_of(largest, percent) // 10 + 1
+
+
 def boundary(percent: int = PERCENT) -> int:
     """The largest size of light sets: beyond it, subsets cost more than parts and verification."""
     size = 1
@@ -139,25 +148,25 @@ def _heavy(h: np.ndarray, first: np.ndarray, node: np.ndarray, least: int, perce
     n = np.diff(first)
     tops = np.array(classes(int(n.max(initial=1)) * 2 + 2))
     own = np.searchsorted(tops, n)
-    keys, owners, ns = [], [], []
+    keys, owners = [], []
     mixed = mix(h ^ _U(0xC2B2AE3D27D4EB4F))
     for step in (0, 1):
         level = own + step
         # a larger set above the class can link only with sets of enough elements
         use = (n >= least) & ((step == 0) | (100 * n >= percent * (tops[own] + 1)))
         for k in np.unique(level[use]):
-            parts, docs = parts_of(int(tops[k]), percent), np.flatnonzero(use & (level == k))
+            parts, docs = parts_of(int(tops[k]), percent) + spare_of(int(tops[k]), percent), np.flatnonzero(use & (level == k))
             size = n[docs]
             take = np.repeat(first[docs] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
             cell = np.repeat(np.arange(len(docs)), size) * parts + (mix(mixed[take]) % _U(parts)).astype(np.int64)
             content = np.zeros(len(docs) * parts, np.uint64)
             np.add.at(content, cell, mixed[take])
             place = mix(np.arange(parts).astype(np.uint64) + _U(int(k) << 40))
-            keys.append(mix(content + np.tile(place, len(docs))).astype(np.int64))
+            # the class is kept in the key
+            keys.append((mix(content + np.tile(place, len(docs))) & ~_U(LEVELS - 1) | _U(k)).astype(np.int64))
             owners.append(np.repeat(node[docs], parts))
-            ns.append(np.repeat(size, parts))
     join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-    return {"key": join(keys), "v": join(owners), "n": join(ns)}
+    return {"key": join(keys), "v": join(owners)}
 
 
 # ---------------------------------------------------------------- the join
@@ -170,7 +179,7 @@ class Join:
         self.docs, self.size, self.percent = docs.select("doc_id", "text"), size, percent
         self.most = boundary(percent)
         self.base = saved(self._map(lambda p, h, f, v: {"doc_id": p.column("doc_id"), "n": np.diff(f).astype(np.int64), "v": v}, "doc_id long, n long, v long"))
-        self.sets = self.base.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("doc_id"))
+        self.sets = self.base.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
 
     def _map(self, f, schema: str, docs: DataFrame | None = None) -> DataFrame:
         size = self.size
@@ -189,16 +198,23 @@ class Join:
         return met.select(F.col("v").alias("u"), F.col("least.v").alias("v")).where("u <> v").distinct()
 
     def lists(self) -> DataFrame:
-        """Owners (v, n) of each key that more than one set has."""
+        """Owners (v, n) of each key that more than one row has, without each owner's most common keys of a class."""
         least, percent = -(-self.percent * (self.most + 1) // 100), self.percent
-        rows = self._map(lambda p, h, f, v: _heavy(h, f, v, least, percent), "key long, v long, n long")
-        shared = rows.groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a < b").select("key")
-        return saved(rows.join(saved(shared), "key").distinct())
+        rows = self._map(lambda p, h, f, v: _heavy(h, f, v, least, percent), "key long, v long")
+        shared = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+        met = rows.join(shared, "key").distinct()
+        level = F.col("key").bitwiseAND(F.lit(LEVELS - 1)).cast("int")
+        spare = F.element_at(F.array(*[F.lit(spare_of(t, percent)) for t in classes(1 << 40)]), level + 1)
+        common = F.row_number().over(Window.partitionBy("v", level).orderBy(F.desc("k"), F.desc("key")))
+        kept = met.withColumn("c", common).where(F.col("c") > spare).select("key", "v")
+        out = saved(kept.join(self.sets.select("v", "n"), "v"))
+        discard(shared)
+        return out
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), those that link, by their exact intersection."""
         pairs = saved(pairs)
-        asked = saved(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct().join(self.sets, "v"))
+        asked = saved(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct().join(self.sets.select("v", "doc_id"), "v"))
         docs = self.docs.join(asked.select("doc_id").distinct(), "doc_id")
         pack = lambda p, h, f, v: {"v": v, "h": pa.array([h[x:y].tobytes() for x, y in zip(f[:-1], f[1:], strict=True)], pa.binary())}
         sets = saved(self._map(pack, "v long, h binary", docs).join(asked.select("v"), "v").dropDuplicates(["v"]))
@@ -220,28 +236,53 @@ class Join:
 
     def components(self) -> DataFrame:
         """v, root for each set that links with another."""
-        percent = self.percent
+        percent, lists = self.percent, self.lists()
         fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-        lists = self.lists()
-        shares = lists.groupBy("v").agg((F.count(F.lit(1)) / F.first("n")).alias("share"))
-        best = lists.join(shares, "v").groupBy("key").agg(F.max(F.struct("share", "v", "n")).alias("best"))
-        met = lists.join(best, "key").select("v", "n", F.col("best.v").alias("to"), F.col("best.n").alias("m")).where("v <> to").where(fits)
-        pairs = met.groupBy("v", "to").agg(F.count(F.lit(1)).alias("k")).groupBy("v").agg(F.max(F.struct("k", "to")).alias("best"))
-        tried = saved(pairs.select(F.least("v", "best.to").alias("a"), F.greatest("v", "best.to").alias("b")).distinct())
-        links = saved(self.verified(tried).union(self.light_links()))
+        shares = saved(lists.groupBy("v").agg((F.count(F.lit(1)) / F.first("n")).alias("share")))
+        links, tried, roots = saved(self.light_links()), None, None
+        for _ in range(ROUNDS):
+            roots = saved(components(links))
+            left = self._apart(lists, roots)
+            # a list's owners are held against one of them: of the largest component, and with the most shared lists
+            sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+            rank = left.join(shares, "v").join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+            best = rank.groupBy("key").agg(F.max(F.struct("size", "share", "v", "n", "root")).alias("best"))
+            met = left.join(best, "key").select("v", "n", "root", F.col("best.v").alias("to"), F.col("best.n").alias("m"), F.col("best.root").alias("other")).where("root <> other").where(fits)
+            pairs = met.select(F.least("v", "to").alias("a"), F.greatest("v", "to").alias("b"), "v")
+            if tried is not None:
+                pairs = pairs.join(tried, ["a", "b"], "left_anti")
+            counted = pairs.groupBy("v", "a", "b").agg(F.count(F.lit(1)).alias("k")).groupBy("v").agg(F.max(F.struct("k", "a", "b")).alias("p"))
+            new = saved(counted.select("p.a", "p.b").distinct())
+            if new.isEmpty():
+                break
+            tried = new if tried is None else saved(tried.union(new))
+            found = saved(self.verified(new))
+            links = saved(links.union(found))
+            if found.isEmpty():
+                break
         roots = saved(components(links))
-        # owners of a list that are still apart
-        at = lists.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
-        at = saved(at)
-        split = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-        left = saved(at.join(split, "key"))
+        # owners of a list that are still apart; they share so many lists if they link
+        left = self._apart(lists, roots)
+        level = F.col("key").bitwiseAND(F.lit(LEVELS - 1)).cast("int")
+        parts = F.element_at(F.array(*[F.lit(parts_of(t, percent)) for t in classes(1 << 40)]), F.col("level") + 1)
         other = left.select("key", F.col("v").alias("w"), F.col("n").alias("m"), F.col("root").alias("other"))
-        rest = left.join(other, "key").where("v < w AND root <> other").where(fits).select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
-        more = saved(self.verified(rest.join(tried, ["a", "b"], "left_anti")))
+        met = left.join(other, "key").where("v < w AND root <> other").where(fits)
+        shared = met.groupBy(F.col("v").alias("a"), F.col("w").alias("b"), level.alias("level"), "n", "m").agg(F.count(F.lit(1)).alias("k"))
+        allowed = F.floor((F.col("n") + F.col("m")) * (100 - percent) / (100 + percent))
+        rest = shared.where(F.col("k") >= parts - allowed).select("a", "b").distinct()
+        more = saved(self.verified(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti")))
         if more.isEmpty():
             return roots
         return saved(components(links.union(more)))
 
+    def _apart(self, lists: DataFrame, roots: DataFrame) -> DataFrame:
+        """The rows of lists whose owners are in different components, with these."""
+        at = saved(lists.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v")))
+        split = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+        left = saved(at.join(split, "key"))
+        discard(at)
+        return left
+
 
 def join_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
