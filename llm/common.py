@@ -16,8 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a kernel works on at once (one longer document is a piece of its own).
-PIECE_BYTES = 2 << 20
+#: Bytes of text that a kernel works on at once (one longer document is a piece of its own): kernels take up to some
+#: hundred times as much.
+PIECE_BYTES = 1 << 19
 _U = np.uint64
 
 
@@ -53,21 +54,36 @@ def saved(df: DataFrame) -> DataFrame:
     _written.append((spark, path))
     # shuffle files of the finished job go as soon as the driver knows that nothing refers to them
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing reads any more: all that was made of them is itself written."""
+    for df in tables:
+        _delete(df.sparkSession, df._scratch)
 
 
 def _drop() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the JVM may be gone already; the folder is scratch space
             return
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def fresh(df: DataFrame) -> str:
+    """A prefix that no column of df begins with."""
+    out = "_"
+    while any(c.startswith(out) for c in df.columns):
+        out += "_"
+    return out
 
 
 def unsigned_crc(column: str) -> F.Column:

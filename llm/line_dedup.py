@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import fresh, saved, table
 
 RATIO = 0.05
 MIN_PAGES = 5
@@ -45,31 +45,35 @@ def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float = RAT
 
 
 def remove_lines(pages: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """pages with their text cleaned, and `_lines`, `_removed`: its lines with a word, and how many of them went."""
+    """pages with their text cleaned, and `lines` and `removed` after the prefix that fresh(pages) gives: its lines with
+    a word, and how many of them went."""
+    p = fresh(pages)
     found = saved(boilerplate(pages, host, F.col(text), ratio, min_pages))
     total = found.agg(F.sum(F.size("lines"))).first()[0] or 0
-    found = found.select(F.col("host").alias("_host"), F.col("lines").alias("_bad"))
-    marked = pages.withColumn("_host", host)
+    found = found.select(F.col("host").alias(f"{p}host"), F.col("lines").alias(f"{p}bad"))
+    marked = pages.withColumn(f"{p}host", host)
     if total <= BROADCAST_LINES:
-        joined = marked.join(F.broadcast(found), "_host", "left")
+        joined = marked.join(F.broadcast(found), f"{p}host", "left")
     else:
-        salted = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = marked.withColumn("_salt", F.pmod(F.xxhash64(*pages.columns), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_salt"], "left").drop("_salt")
-    split = F.split(F.col(text), "\n", -1)
-    kept = F.filter(split, lambda x: ~F.array_contains(F.col("_bad"), _key(x)))
+        salted = found.withColumn(f"{p}salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in pages.columns]), F.lit(SALTS)).cast("int")
+        joined = marked.withColumn(f"{p}salt", salt).join(salted, [f"{p}host", f"{p}salt"], "left").drop(f"{p}salt")
+    split, bad = F.split(F.col(text), "\n", -1), F.col(f"{p}bad")
+    kept = F.filter(split, lambda x: ~F.array_contains(bad, _key(x)))
     worded = lambda lines: F.size(F.filter(lines, lambda x: x.rlike(_WORD)))
-    known = F.col("_bad").isNotNull() & F.col(text).isNotNull()
-    out = joined.withColumn("_kept", F.when(known, kept)).withColumn("_lines", F.coalesce(worded(split), F.lit(0)).cast("long"))
-    out = out.withColumn("_removed", F.when(known, F.col("_lines") - worded(F.col("_kept"))).otherwise(0).cast("long"))
-    changed = F.col("_removed") > 0
-    return out.withColumn(text, F.when(changed, F.array_join("_kept", "\n")).otherwise(F.col(text))).drop("_host", "_bad", "_kept")
+    known = bad.isNotNull() & F.col(text).isNotNull()
+    out = joined.withColumn(f"{p}kept", F.when(known, kept)).withColumn(f"{p}lines", F.coalesce(worded(split), F.lit(0)).cast("long"))
+    out = out.withColumn(f"{p}removed", F.when(known, F.col(f"{p}lines") - worded(F.col(f"{p}kept"))).otherwise(0).cast("long"))
+    changed = F.col(f"{p}removed") > 0
+    return out.withColumn(text, F.when(changed, F.array_join(f"{p}kept", "\n")).otherwise(F.col(text))).drop(f"{p}host", f"{p}bad", f"{p}kept")
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
     """documents with lines removed and n_chars brought up to date; their source is the host."""
     out = remove_lines(docs, F.col("source"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+        changed = F.col(f"{fresh(docs)}removed") > 0
+        out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
