@@ -14,24 +14,22 @@ pieces of rows with the same doc_id carry the same (doc_id, piece).
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import public_tokenizers
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import pieces as text_pieces
+from .common import saved, table, utf8
+from .pretokens import Remembering
 
 CAPACITY = 1024
 END = 2
-#: Matches remembered by a tokenizing task.
-MEMORY = 400_000
 
 
 # ---------------------------------------------------------------- the plan
@@ -126,32 +124,41 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return out
 
 
-def tokenizer(path: str, pattern: str) -> Callable[[str], list[int]]:
-    """Encodes by the tokenizers library; matches of the pattern, which it encodes each by itself, are remembered.
-    Special tokens' strings are ordinary text."""
+def tokenizer(path: str) -> Remembering:
+    """Encodes by the tokenizers library. Special tokens' strings are ordinary text."""
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
     library.encode_special_tokens = True
-    split, known = regex.compile(pattern).findall, {}
-
-    def encode(text: str) -> list[int]:
-        matches = split(text)
-        new = [m for m in dict.fromkeys(matches) if m not in known]
-        if new:
-            if len(known) + len(new) > MEMORY:
-                known.clear()
-                new = list(dict.fromkeys(matches))
-            known.update(zip(new, (e.ids for e in library.encode_batch(new, add_special_tokens=False)), strict=True))
-        out: list[int] = []
-        for m in matches:
-            out += known[m]
-        return out
-
-    return encode
-
-
-def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
+    encode = lambda text: library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    line = encode("\n")
+
+    def new(matches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        # words go as lines of one text, as a call for each costs more than its encoding; what has other white
+        # space than a first space goes by itself
+        texts = [m.decode() for m in matches]
+        plain = np.array([t.strip() == (t[1:] if t[0] == " " else t) != "" for t in texts], bool)
+        ids = np.array(encode("\n".join([t for t, p in zip(texts, plain.tolist(), strict=True) if p])), np.int32)
+        ends = np.append(np.flatnonzero(ids == line[0]), len(ids))
+        if len(line) != 1 or len(ends) != max(1, plain.sum()):
+            plain[:], ids, ends = False, ids[:0], np.zeros(1, np.int64)
+        sizes = np.zeros(len(texts), np.int64)
+        if plain.any():
+            sizes[plain] = np.diff(ends, prepend=-1) - 1
+        others = {i: encode(texts[i]) for i in np.flatnonzero(~plain).tolist()}
+        for i, own in others.items():
+            sizes[i] = len(own)
+        flat = np.zeros(sizes.sum(), np.int32)
+        flat[np.repeat(plain, sizes)] = ids[ids != line[0]]
+        starts = np.cumsum(sizes) - sizes
+        for i, own in others.items():
+            flat[starts[i] : starts[i] + len(own)] = own
+        return sizes, flat
+
+    return Remembering(new)
+
+
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids) for each piece, with the task that cut it (block) and its rank
     there among pieces of equal length (local)."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, block int, local long" + ", ids array<int>" * with_ids
@@ -159,13 +166,14 @@ def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, e
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
 
     def run(batches):
-        encode, block, seen = tokenizer(path, pattern), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for batch in batches:
+        encoder, block, seen = tokenizer(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        for batch in text_pieces(batches, limit=2 << 20):
+            ids, at = encoder.encode(*utf8(batch.column("text")))
             rows: list[tuple] = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                ids = np.array([*encode(text.as_py() or ""), end], "<u4")
-                for k, (start, size) in enumerate(cut(len(ids), capacity)):
-                    own = ids[start : start + size]
+            for doc, a, b in zip(batch.column("doc_id").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                whole = np.append(ids[a:b], end).astype("<u4")
+                for k, (start, size) in enumerate(cut(len(whole), capacity)):
+                    own = whole[start : start + size]
                     rows.append((doc, k, start, size, zlib.crc32(own.tobytes()), block, seen[size], *([own.tolist()] if with_ids else [])))
                     seen[size] += 1
             columns = list(zip(*rows, strict=True)) or [()] * (7 + with_ids)
@@ -194,7 +202,7 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
-    return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN))
+    return pack(pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
