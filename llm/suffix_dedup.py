@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import marked_runs, slide_first
-from .common import byte_hash, map_text, mix, runs, saved, table
+from .common import byte_hash, discard, map_text, mix, runs, saved, table
 
 LENGTH = 100
 K = 24
@@ -38,7 +38,6 @@ K = 24
 HOT = 20_000
 #: Sampled suffixes that are sorted at once, or one name's.
 CHUNK = 40_000
-PIECE = 1 << 20
 _U = np.uint64
 
 
@@ -128,6 +127,11 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Repeats:
     def __init__(self, docs: DataFrame, length: int = LENGTH, k: int = K):
         self.docs, self.length, self.k = docs.select("doc_id", "text"), length, k
+        self.scratch: list[DataFrame] = []
+
+    def _saved(self, df: DataFrame) -> DataFrame:
+        self.scratch.append(saved(df))
+        return self.scratch[-1]
 
     def _rows(self, all_: bool) -> DataFrame:
         length, k = self.length, self.k
@@ -138,20 +142,20 @@ class Repeats:
                 return {"name": x.name.astype(np.int64)}
             return {"name": x.name.astype(np.int64), "doc_id": piece.column("doc_id").take(pa.array(x.doc)), "code": x.code, "around": x.around.astype(np.int64)}
 
-        return map_text(self.docs.where("doc_id IS NOT NULL"), run, "name long" + ", doc_id long, code long, around long" * all_, limit=PIECE)
+        return map_text(self.docs.where("doc_id IS NOT NULL"), run, "name long" + ", doc_id long, code long, around long" * all_)
 
     def ranges(self) -> DataFrame:
         """doc_id, first, last: windows (by first byte) that start earlier, in ranges."""
         length, k = self.length, self.k
-        often = saved(self._rows(False).groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"))
-        rows = saved(self._rows(True).join(often, "name"))
-        groups = saved(rows.groupBy("name", "around").agg(F.min(F.struct("doc_id", "code")).alias("least")))
+        often = self._saved(self._rows(False).groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"))
+        rows = self._saved(self._rows(True).join(often, "name"))
+        groups = self._saved(rows.groupBy("name", "around").agg(F.min(F.struct("doc_id", "code")).alias("least")))
         later = rows.join(groups, ["name", "around"]).where("doc_id > least.doc_id OR code > least.code")
         start, place = F.expr("(code >> 8) & 255"), F.expr("code >> 16")
         settled = later.select("doc_id", (place - start).alias("first"), (place - F.expr("code & 255")).alias("last"))
         mixed = groups.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", (F.col("n") > HOT).alias("hot"))
         asked = groups.join(mixed, "name").select("least.doc_id", "least.code", "hot")
-        asked = saved(asked.groupBy("doc_id").agg(F.sort_array(F.collect_set("code")).alias("code"), F.sort_array(F.collect_set(F.when(F.col("hot"), F.col("code")))).alias("hot")))
+        asked = self._saved(asked.groupBy("doc_id").agg(F.sort_array(F.collect_set("code")).alias("code"), F.sort_array(F.collect_set(F.when(F.col("hot"), F.col("code")))).alias("hot")))
         here = self.docs.join(asked, "doc_id")
 
         def bodies(piece: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> dict:
@@ -195,10 +199,10 @@ class Repeats:
             if held:
                 yield done(pd.concat(held, ignore_index=True))
 
-        meet = map_text(here, bodies, "name long, doc_id long, code long, body binary", limit=PIECE).repartition("name").sortWithinPartitions("name")
+        meet = map_text(here, bodies, "name long, doc_id long, code long, body binary").repartition("name").sortWithinPartitions("name")
         found = settled.union(meet.mapInPandas(sort, "doc_id long, first long, last long"))
         if not asked.where(F.size("hot") > 0).isEmpty():
-            rows = saved(map_text(here.where(F.size("hot") > 0), windows, "bytes long, doc_id long, first long", limit=PIECE))
+            rows = self._saved(map_text(here.where(F.size("hot") > 0), windows, "bytes long, doc_id long, first long"))
             least = rows.groupBy("bytes").agg(F.min(F.struct("doc_id", "first")).alias("least"))
             again = rows.join(least, "bytes").where("doc_id > least.doc_id OR first > least.first")
             found = found.union(again.select("doc_id", "first", F.col("first").alias("last")))
@@ -207,6 +211,7 @@ class Repeats:
     def removals(self) -> DataFrame:
         """doc_id, and first and last of its ranges as arrays."""
         ranges = saved(self.ranges())
+        discard(*self.scratch)
         return ranges.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("r")).select("doc_id", "r.first", "r.last")
 
 
@@ -229,15 +234,15 @@ def dedup(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
         return {"doc_id": piece.column("doc_id"), "n_bytes": np.diff(off), "n_removed": total(gone), "n_spans": total(begins), "kept_sha256": kept}
 
     found = Repeats(docs, length, k).removals()
-    return map_text(docs.select("doc_id", "text").join(found, "doc_id", "left"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", limit=PIECE)
+    return map_text(docs.select("doc_id", "text").join(found, "doc_id", "left"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """docs with the covered bytes removed from their texts, and n_chars brought up to date. A character goes if one of
     its bytes does. Texts of which nothing is left are empty."""
     names = docs.columns
+    rest = [c for c in names if c != "text"]
     found = Repeats(docs, length, k).removals()
-    kept = [c for c in names if c != "text"]
 
     def run(piece: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> dict:
         gone = removed_bytes(piece, data, off, length)
@@ -245,14 +250,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
         if len(lead):
             gone = np.repeat(np.logical_or.reduceat(gone, lead), np.diff(np.append(lead, len(data))))
         out = [data[a:b][~gone[a:b]].tobytes().decode() if ok.as_py() else None for a, b, ok in zip(off[:-1], off[1:], piece.column("text").is_valid(), strict=True)]
-        columns = {c: piece.column(c) for c in names}
-        columns["text"] = pa.array(out, pa.string())
+        columns = dict(zip(rest, piece.column("rest").flatten(), strict=True)) | {"text": pa.array(out, pa.string())}
         if "n_chars" in columns:
-            columns["n_chars"] = pa.array([n if t is None or f is None else len(t) for t, f, n in zip(out, piece.column("first").to_pylist(), columns["n_chars"].to_pylist(), strict=True)], pa.int64())
-        return columns
-
-    joined = docs.join(found.withColumnsRenamed({"doc_id": "_id"}), F.col("_id") == docs["doc_id"], "left").select(*kept, "text", "first", "last")
-    return map_text(joined, run, docs.select(*names).schema, limit=PIECE)
+            hit = piece.column("first").is_valid().to_pylist()
+            columns["n_chars"] = pa.array([len(t) if h and t is not None else n for t, h, n in zip(out, hit, columns["n_chars"].to_pylist(), strict=True)], pa.int64())
+        return {c: columns[c] for c in names}
+
+    # the other columns travel as one, whatever their names
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), "text")
+    joined = whole.join(found, F.col("rest.doc_id") == F.col("doc_id"), "left").select("rest", "text", "first", "last")
+    return map_text(joined, run, docs.schema)
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
