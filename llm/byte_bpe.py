@@ -15,14 +15,15 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 import public_tokenizers
-import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import pieces, table, to_batch, utf8
+from .pretokens import Remembering
 
-#: Entries after which the table of states, and that of whole matches, start anew.
+#: States, and answers about pairs, after which their table starts anew.
 TABLE_LIMIT = 250_000
 
 
@@ -145,26 +146,16 @@ class Transducer:
         return tuple(out)
 
 
-class Encoder:
-    """Encodes texts: each match of the pattern goes through the transducer by itself, and is then remembered."""
-
-    def __init__(self, vocabulary: Vocabulary, pattern: str):
-        self.transducer = Transducer(vocabulary)
-        self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for match in self.split(text):
-            ids = known.get(match)
-            if ids is None:
-                if len(known) >= 2 * TABLE_LIMIT:
-                    known.clear()
-                ids = self.transducer.encode(match.encode())
-                if len(match) <= 64:
-                    known[match] = ids
-            out.extend(ids)
-        return out
+def encoder(vocabulary: Vocabulary) -> Remembering:
+    """Encodes documents: each match of the pattern goes through the transducer by itself, and is then remembered."""
+    transducer = Transducer(vocabulary)
+
+    def new(matches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = list(map(transducer.encode, matches))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        return sizes, np.fromiter((i for own in ids for i in own), np.int32, int(sizes.sum()))
+
+    return Remembering(new)
 
 
 class Utf8Stream:
@@ -214,48 +205,44 @@ def decode(vocabulary: Vocabulary, ids: Iterable[int]) -> Iterator[str]:
         yield out
 
 
-def _text(value: object) -> str:
-    return value if isinstance(value, str) else ""
-
-
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """doc_id and ids array<int> for each row of docs."""
 
     def run(batches):
-        encoder = Encoder(Vocabulary.load(path), pattern)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": [encoder.encode(_text(t)) for t in pdf["text"]]})
+        encode = encoder(Vocabulary.load(path)).encode
+        for piece in pieces(batches, limit=2 << 20):
+            ids, at = encode(*utf8(piece.column("text")))
+            yield to_batch({"doc_id": piece.column("doc_id"), "ids": pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32()))})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """Encodes each text and decodes its ids: doc_id, n_tokens, and SHA-256 of the ids, of the decoded bytes and of the
     text that streaming decoding gives."""
 
     def run(batches):
         vocabulary = Vocabulary.load(path)
-        encoder = Encoder(vocabulary, pattern)
+        encode = encoder(vocabulary).encode
         size = 1 + max(vocabulary.tokens)
         raw = [vocabulary.tokens.get(i, b"") for i in range(size)]
         names = list(map(str, range(size)))
-        for pdf in batches:
+        for piece in pieces(batches, limit=2 << 20):
+            all_ids, at = encode(*utf8(piece.column("text")))
             rows = []
-            for text in pdf["text"]:
-                ids = encoder.encode(_text(text))
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                ids = all_ids[a:b].tolist()
                 decoded, stream, streamed = hashlib.sha256(), Utf8Stream(), hashlib.sha256()
-                for at in range(0, len(ids), 512):
-                    chunk = b"".join(map(raw.__getitem__, ids[at : at + 512]))
+                for k in range(0, len(ids), 4096):
+                    chunk = b"".join(map(raw.__getitem__, ids[k : k + 4096]))
                     decoded.update(chunk)
                     streamed.update(stream.feed(chunk).encode())
                 streamed.update(stream.close().encode())
                 rows.append((len(ids), hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest(), decoded.hexdigest(), streamed.hexdigest()))
-            out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "text_sha256"])
-            out.insert(0, "doc_id", pdf["doc_id"].array)
-            yield out
+            yield to_batch({"doc_id": piece.column("doc_id"), **dict(zip(("n_tokens", "ids_sha256", "decoded_sha256", "text_sha256"), map(list, zip(*rows, strict=True)), strict=True))})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, text_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, text_sha256 string")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
