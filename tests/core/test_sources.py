@@ -74,8 +74,9 @@ def test_points(spark):
 def test_source_filters_reach_the_scan(spark, sf):
     from gridloom.queries import cube_e
 
-    text = cube_e(spark, sf).select_bands("value").df._jdf.queryExecution().executedPlan().toString()
-    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in text and "props" not in text
+    df = cube_e(spark, sf).select_bands("value").df
+    text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    assert "GreaterThanOrEqual(ts" in text.split("PushedFilters: ")[1].split("\n")[0] and "props" not in text.split("ReadSchema: ")[1].split("\n")[0]
 
 
 def test_geometry():
