@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .anchors import anchors, marked_runs, slide
-from .common import RangeHash, byte_hash, map_text, runs, saved, table, words
+from .common import RangeHash, byte_hash, discard, map_text, runs, saved, table, words
 
 WINDOW = 50
-K = 16
+K = 10
 _U = np.uint64
 #: What is known of the edge that begins at an anchor.
 NONE, FIRST, LATER, CHAINED = 0, 1, 2, 4
@@ -133,7 +133,9 @@ class Graph:
         known = self.docs.where(F.col("doc_id").isNotNull())
         all_ = saved(map_text(known, run, "doc_id long, row long, pos int, node long, edge long, next long"))
         nodes = all_.groupBy("node").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("node", F.col("a").alias("least_of_node"))
-        return saved(all_.join(nodes, "node"))
+        rows = saved(all_.join(nodes, "node"))
+        discard(all_)
+        return rows
 
     def compacted(self, rows: DataFrame) -> DataFrame:
         """For each repeated edge: its least document, and whether it is chained with its only successor."""
@@ -161,7 +163,9 @@ class Graph:
 
         nodes = saved(arrays.select("pos", "state", "node").mapInPandas(open_nodes, "node long").distinct())
         need = rows.join(nodes, "node").groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("pos")).alias("need"))
-        return saved(arrays.drop("node").join(need, ["doc_id", "row"], "left"))
+        known = saved(arrays.drop("node").join(need, ["doc_id", "row"], "left"))
+        discard(rows, arrays, nodes)
+        return known
 
     def removals(self) -> DataFrame:
         """doc_id, row, pos, state and at: what final() needs of each row with repeated anchors."""
@@ -176,7 +180,9 @@ class Graph:
         open_ = saved(map_text(self.docs.join(known, ["doc_id", "row"]), run, "doc_id long, row long, at int, words long"))
         least = open_.groupBy("words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
         gone = open_.join(least, "words").where("least < doc_id").groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("at")).alias("at"))
-        return known.join(gone, ["doc_id", "row"], "left")
+        out = saved(known.join(gone, ["doc_id", "row"], "left"))
+        discard(known, open_)
+        return out
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
