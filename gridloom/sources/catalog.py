@@ -6,8 +6,9 @@ import json
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..grid import Grid, View
@@ -21,6 +22,9 @@ SCHEMAS = {
     "gdalrefs": "image_id int, band_id int, descriptor string, band_num int",
 }
 
+#: Names sampled for each range in which images are numbered.
+SAMPLED = 20
+
 
 @dataclass(frozen=True)
 class Collection:
@@ -171,8 +175,7 @@ def create_collection(files: DataFrame, fmt: str | dict) -> Collection:
         shift = f"make_interval({', '.join(str(int(re.sub(r'[^0-9]', '', step))) + ' * k' if u == step[-1] else '0' for u in 'YMWD')})"
         all_refs = all_refs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns({"when": F.expr(f"when + {shift}"), "band_num": F.col("k") + 1, "name": F.concat_ws("_", "name", F.col("k") + 1)})
     images = all_refs.groupBy("name").agg(*[F.first(c, ignorenulls=True).alias(c) for c in geo], F.min("when").alias("when"))
-    # ids of unbounded tables come from the names, so that no task sees all of them
-    images = images.withColumn("id", F.pmod(F.hash("name"), F.lit(2**31 - 1)).cast("int")) if images.limit(100_001).count() > 100_000 else _numbered(images)
+    images = _numbered(images)
     md = [(k, str(v)) for k, v in f.items() if isinstance(v, str)]
     bands = [(i + 1, n, b.get("type", ""), float(b.get("offset", 0)), float(b.get("scale", 1)), b.get("unit", ""), str(b.get("nodata", ""))) for i, (n, b) in enumerate(f["bands"].items())]
     out = images.select("id", "name", "left", "top", "bottom", "right", F.date_format("when", "yyyy-MM-dd'T'HH:mm:ss").alias("datetime"), "proj")
@@ -181,9 +184,17 @@ def create_collection(files: DataFrame, fmt: str | dict) -> Collection:
 
 
 def _numbered(images: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    return images.withColumn("id", F.row_number().over(Window.orderBy("name")))
+    """Adds id: the place of a name in the order of all names, from 1. Names are distinct. They are dealt to ranges, by
+    bounds from those of smallest hash, and numbered within each after the counts of the ranges before: no task sees all."""
+    n = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = sorted(r["name"] for r in images.select("name").orderBy(F.xxhash64("name"), "name").limit(SAMPLED * n).collect())
+    bounds = [some[len(some) * k // n] for k in range(1, n)] if len(some) >= SAMPLED * n else []
+    # a function of the name alone: the same however often, and on whatever partitions, it is computed
+    dealt = images.withColumn("_range", F.size(F.filter(F.lit(bounds), lambda b: b <= F.col("name"))) if bounds else F.lit(0))
+    counts = {r["_range"]: r["count"] for r in dealt.groupBy("_range").count().collect()}
+    before = [0, *accumulate(counts.get(k, 0) for k in range(len(bounds)))]
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("name"))
+    return dealt.withColumn("id", (own + F.lit(before)[F.col("_range")]).cast("int")).drop("_range")
 
 
 def _java_format(text: str) -> str:
@@ -246,7 +257,7 @@ def stac_collection(
     rows = a.select("id", "bbox", "when", proj.alias("proj"), url(F.col("a.value.href")).alias("descriptor"), F.explode(own).alias("b"))
     names = [r["band"] for r in rows.select("b.band").distinct().orderBy("band").collect()]
     images = rows.groupBy(F.col("id").alias("name")).agg(F.first("bbox").alias("bbox"), F.first("when").alias("when"), F.first("proj", True).alias("proj"))
-    images = _numbered(images) if images.limit(100_001).count() <= 100_000 else images.withColumn("id", F.pmod(F.hash("name"), F.lit(2**31 - 1)).cast("int"))
+    images = _numbered(images)
     box = F.col("bbox")
     out = images.select("id", "name", box[0].alias("left"), F.when(F.size(box) == 6, box[4]).otherwise(box[3]).alias("top"), box[1].alias("bottom"), F.when(F.size(box) == 6, box[3]).otherwise(box[2]).alias("right"), F.date_format("when", "yyyy-MM-dd'T'HH:mm:ss").alias("datetime"), "proj")
     number = F.create_map(*[v for i, n in enumerate(names) for v in (F.lit(n), F.lit(i + 1))]) if names else F.create_map()

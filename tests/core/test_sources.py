@@ -58,6 +58,16 @@ def test_stac(spark):
     assert c.gdalrefs.where("band_num = 2").first()["descriptor"] == "/vsis3/b/m.tif"
 
 
+def test_ids_of_many_images(spark):
+    n = 130_000
+    fmt = {"images": {"pattern": r"/(.+)_[0-9]{8}_red\.tif"}, "datetime": {"pattern": r"_([0-9]{8})_"}, "bands": {"red": {"pattern": "red"}}}
+    paths = spark.range(n).select(F.format_string("/s%06d_20210101_red.tif", F.col("id") * 7919 % n).alias("path"))
+    item = F.format_string('{"id":"s%06d","bbox":[1,2,3,4],"properties":{"datetime":"2021-01-01T00:00:00Z"},"assets":{"a":{"href":"s%06d"}}}', F.col("id") * 7919 % n, F.col("id") * 7919 % n)
+    for c in (create_collection(paths, fmt), stac_collection(spark.range(n).select(item.alias("item")))):
+        assert c.images.where(F.concat(F.lit("s"), F.lpad((F.col("id") - 1).cast("string"), 6, "0")) == F.col("name")).count() == c.images.count() == n
+        assert c.gdalrefs.where(F.col("descriptor").contains(F.concat(F.lit("s"), F.lpad((F.col("image_id") - 1).cast("string"), 6, "0")))).count() == c.gdalrefs.count() == n
+
+
 def test_saved_collections(spark, tmp_path):
     images(spark).save(str(tmp_path / "c"))
     c = Collection.open(spark, str(tmp_path / "c"))
