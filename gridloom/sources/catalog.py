@@ -7,6 +7,7 @@ import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from itertools import accumulate
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -119,14 +120,8 @@ def _overlap(left: float, right: float, bottom: float, top: float) -> Column:
 
 # ---------------------------------------------------------------- formats
 
-FORMATS: dict[str, dict] = {
-    "L8_SR": {
-        "description": "surface reflectance scenes, one file for each band",
-        "pattern": ".*\\.tif", "images": {"pattern": ".*/(.+)_sr_.*\\.tif|.*/(.+)_pixel_qa\\.tif"},
-        "datetime": {"pattern": ".*_[0-9]{6}_([0-9]{8})_.*", "format": "yyyyMMdd"},
-        "bands": {"B04": {"pattern": ".*_sr_band4\\.tif", "nodata": -9999}, "B05": {"pattern": ".*_sr_band5\\.tif", "nodata": -9999}, "PIXEL_QA": {"pattern": ".*_pixel_qa\\.tif"}},
-    },
-}
+#: The reference's presets, one file of JSON each.
+FORMATS: dict[str, dict] = {p.stem: json.loads(p.read_text()) for p in sorted((Path(__file__).parent.parent / "formats").glob("*.json"))}
 
 
 def collection_formats() -> list[str]:
@@ -143,13 +138,36 @@ def add_collection_format(name: str, text: str) -> None:
     FORMATS[name] = f
 
 
+def _whole(pattern: str) -> str:
+    """Patterns of formats match whole paths."""
+    return f"^(?:{pattern})\\z"
+
+
 def _found(text: Column, pattern: str) -> Column:
     """The first group of a pattern that matched."""
     groups = re.compile(pattern).groups
-    parts = [F.nullif(F.regexp_extract(text, pattern, i), F.lit("")) for i in range(1, groups + 1)] or [F.nullif(F.regexp_extract(text, pattern, 0), F.lit(""))]
+    parts = [F.nullif(F.regexp_extract(text, _whole(pattern), i), F.lit("")) for i in range(1, groups + 1)] or [F.nullif(F.regexp_extract(text, _whole(pattern), 0), F.lit(""))]
     return F.coalesce(*parts)
 
 
+def _parsed(text: Column, fmt: str) -> Column:
+    """A time by a format of strptime, which may end before the text does; null if it does not fit. Formats without a
+    percent sign are Spark's."""
+    if "%" not in fmt:
+        return F.try_to_timestamp(text, F.lit(fmt)).cast("timestamp_ntz")
+    digits = {"Y": 4, "m": 2, "d": 2, "H": 2, "M": 2, "S": 2, "j": 3}
+    fields, pattern = [], "^"
+    for field, other in re.findall(r"%(.)|([^%]+)", fmt):
+        if field and field not in digits:
+            raise ValueError(f"%{field} is not known in a format of times")
+        pattern += f"([0-9]{{1,{digits[field]}}})" if field else re.escape(other)
+        fields += [field] if field else []
+    part = lambda k, rest: F.regexp_extract(text, pattern, fields.index(k) + 1).try_cast("int") if k in fields else F.lit(rest)
+    # a day of the year is a number of days after its first
+    when = F.try_make_timestamp_ntz(part("Y", 1970), part("m", 1), part("d", 1), part("H", 0), part("M", 0), part("S", 0).cast("decimal(16,6)"))
+    return F.when(part("j", 1).between(1, 366), when + F.make_dt_interval(part("j", 1) - 1)).cast("timestamp_ntz")
+
+
 def create_collection(files: DataFrame, fmt: str | dict) -> Collection:
     """files: path, and where known left, top, bottom, right, proj. Paths that do not match the format are left out;
     files of one image name make one image."""
@@ -158,13 +176,15 @@ def create_collection(files: DataFrame, fmt: str | dict) -> Collection:
     geo = {"left": "double", "top": "double", "bottom": "double", "right": "double", "proj": "string"}
     own = files.select("path", *[(F.col(c) if c in files.columns else F.lit(None)).cast(t).alias(c) for c, t in geo.items()])
     if f.get("pattern"):
-        own = own.where(p.rlike(f["pattern"]))
-    when = F.try_to_timestamp(_found(p, f["datetime"]["pattern"]), F.lit(_java_format(f["datetime"].get("format", "%Y%m%d")))).cast("timestamp_ntz")
+        own = own.where(p.rlike(_whole(f["pattern"])))
+    when = _parsed(_found(p, f["datetime"]["pattern"]), f["datetime"].get("format", "%Y%m%d"))
     own = own.withColumns({"name": _found(p, f["images"]["pattern"]), "when": when}).where("name IS NOT NULL AND when IS NOT NULL")
+    if f.get("srs"):
+        own = own.withColumn("proj", F.lit(f["srs"]))
     step = f["datetime"].get("bands", {}).get("dt")
     refs = []
     for i, (band, b) in enumerate(f["bands"].items()):
-        hit = own.where(p.rlike(b["pattern"])) if b.get("pattern") else own
+        hit = own.where(p.rlike(_whole(b["pattern"]))) if b.get("pattern") else own
         refs.append(hit.withColumns({"band_id": F.lit(i + 1), "band_num": F.lit(int(b.get("band", 1)))}))
     all_refs = refs[0]
     for r in refs[1:]:
@@ -197,12 +217,6 @@ def _numbered(images: DataFrame) -> DataFrame:
     return dealt.withColumn("id", (own + F.lit(before)[F.col("_range")]).cast("int")).drop("_range")
 
 
-def _java_format(text: str) -> str:
-    for a, b in (("%Y", "yyyy"), ("%m", "MM"), ("%d", "dd"), ("%H", "HH"), ("%M", "mm"), ("%S", "ss"), ("%j", "DDD"), ("T", "'T'") if "%" in text else ("", "")):
-        text = text.replace(a, b) if a else text
-    return text
-
-
 def collection_from_lists(spark: SparkSession, files: Sequence[str], datetimes: Sequence[str], band_names: Sequence[str], one_band_per_file: bool = False, boxes: Sequence[tuple] | None = None, proj: str = "EPSG:4326") -> Collection:
     """Files with known times: each holds all bands, or one band each, in turn."""
     images, refs = {}, []

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from gridloom import Grid, View
 from gridloom.operators import geom
-from gridloom.sources.catalog import Collection, collection_from_lists, create_collection, stac_collection
+from gridloom.sources.catalog import FORMATS, Collection, collection_formats, collection_from_lists, create_collection, stac_collection
 from gridloom.sources.images import raster_cube
 from gridloom.sources.points import points_to_cube
 from gridloom.streaming.ingest import append_files, windowed_cells
@@ -58,9 +58,27 @@ def test_stac(spark):
     assert c.gdalrefs.where("band_num = 2").first()["descriptor"] == "/vsis3/b/m.tif"
 
 
+def test_presets(spark):
+    assert len(collection_formats()) == 21 and sum(len(f["bands"]) for f in FORMATS.values()) == 163
+    l8 = "/d/LC08_L1TP_226063_20140719_20170421_01_T1"
+    s2 = "/d/S2A_MSIL2A_20200102T030405_N0213_R1_T32.SAFE/GRANULE/x/IMG_DATA/R10m/T32_20200102T030405"
+    given = {
+        "L8_SR": ([f"{l8}_{b}.tif" for b in ("pixel_qa", "radsat_qa", "sr_aerosol", *(f"sr_{x}" for x in ("band1", "band2", "band3", "band4", "band5", "band6", "band7", "ndvi", "evi", "savi", "msavi", "ndmi", "nbr", "nbr2")))] + [f"{l8}_sr_band1.tif.aux.xml"], "2014-07-19T00:00:00", 17),
+        "L8_L1TP": ([f"{l8}/LC08_L1TP_226063_20140719_20170421_01_T1_B{k}.TIF" for k in (1, 10)], "2014-07-19T00:00:00", 2),
+        "Sentinel2_L2A": ([f"{s2}_B02_10m.jp2", f"{s2}_B03_10m.jp2"], "2020-01-02T03:04:05", 2),
+        "Sentinel2_L1C_AWS": (["/vsis3/sentinel-s2-l1c/tiles/1/C/CV/2016/1/10/0/B03.jp2"], "2016-01-10T00:00:00", 1),
+        "MxD11A1": ([f'HDF4_EOS:EOS_GRID:"/d/MOD11A1.A2018060.h1.hdf":MODIS_Grid_Daily_1km_LST:{b}' for b in ("LST_Day_1km", "LST_Night_1km")], "2018-03-01T00:00:00", 2),
+        "CHIRPS_v2_0_monthly_p05_tif": (["/d/chirps-v2.0.2019.07.tif.gz"], "2019-07-01T00:00:00", 1),
+    }
+    for name, (paths, when, refs) in given.items():
+        c = create_collection(spark.createDataFrame([(p,) for p in paths], "path string"), name)
+        assert [r["datetime"] for r in c.images.collect()] == [when], name
+        assert (c.gdalrefs.count(), c.gdalrefs.select("band_id").distinct().count(), c.bands.count()) == (refs, refs, len(FORMATS[name]["bands"])), name
+
+
 def test_ids_of_many_images(spark):
     n = 130_000
-    fmt = {"images": {"pattern": r"/(.+)_[0-9]{8}_red\.tif"}, "datetime": {"pattern": r"_([0-9]{8})_"}, "bands": {"red": {"pattern": "red"}}}
+    fmt = {"images": {"pattern": r"/(.+)_[0-9]{8}_red\.tif"}, "datetime": {"pattern": r".*_([0-9]{8})_.*"}, "bands": {"red": {"pattern": ".*red.*"}}}
     paths = spark.range(n).select(F.format_string("/s%06d_20210101_red.tif", F.col("id") * 7919 % n).alias("path"))
     item = F.format_string('{"id":"s%06d","bbox":[1,2,3,4],"properties":{"datetime":"2021-01-01T00:00:00Z"},"assets":{"a":{"href":"s%06d"}}}', F.col("id") * 7919 % n, F.col("id") * 7919 % n)
     for c in (create_collection(paths, fmt), stac_collection(spark.range(n).select(item.alias("item")))):
