@@ -17,7 +17,9 @@ Equal sets are one node. Lists are never gathered: their least and best owners a
 joins that Spark splits where a list is long.
 
 Defined cases: null or empty texts have the empty set, which links with nothing and is its own component. Repeated
-rows have equal sets. Rows of one doc_id are one document: if their texts differ they share a component.
+rows have equal sets. Rows of one doc_id are one document: if their texts differ they share a component. Rows without
+a doc_id are documents like any other: they link, and bridge others. A component is named by its least doc_id, or null
+if it has none; one_of_each keeps all rows without a doc_id, as no doc_id is smaller than none.
 """
 
 from __future__ import annotations
@@ -215,7 +217,8 @@ class Join:
         """Of pairs (a, b), those that link, by their exact intersection."""
         pairs = saved(pairs)
         asked = saved(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct().join(self.sets.select("v", "doc_id"), "v"))
-        docs = self.docs.join(asked.select("doc_id").distinct(), "doc_id")
+        # sets of which no row has a doc_id are found by v, among all rows without one
+        docs = self.docs.join(asked.select("doc_id").distinct(), "doc_id").union(self.docs.where("doc_id IS NULL"))
         pack = lambda p, h, f, v: {"v": v, "h": pa.array([h[x:y].tobytes() for x, y in zip(f[:-1], f[1:], strict=True)], pa.binary())}
         sets = saved(self._map(pack, "v long, h binary", docs).join(asked.select("v"), "v").dropDuplicates(["v"]))
         percent = self.percent

@@ -239,6 +239,16 @@ def test_jaccard_keeps_one_of_each(spark):
     assert sorted(r["doc_id"] for r in jaccard_join.one_of_each(frame(spark, rows)).collect()) == [3, 7, 8, 9]
 
 
+def test_jaccard_links_rows_without_id(spark):
+    w = [f"w{k}" for k in range(80)]
+    # a and c differ by more than the bound allows, and link only by b, which has no doc_id; light sets alike
+    a, b, c = w, [*w[:-3], "x", "y", "z"], ["p", "q", "r", *w[3:-3], "x", "y", "z"]
+    rows = [(1, " ".join(a)), (None, " ".join(b)), (3, " ".join(c)), (None, "u " * 5 + " ".join(w[::-1])), (None, " ".join(w[::-1])), (8, "other")]
+    out = jaccard_join.join_documents(frame(spark, rows)).select("doc_id", "component_id").collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(1, 1), (None, 1), (3, 1), (None, None), (None, None), (8, 8)], key=str)
+    assert sorted((r["doc_id"] for r in jaccard_join.one_of_each(frame(spark, rows), 3, 90).collect()), key=str) == [1, 8, None, None, None]
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(1, 2), (2, 3), (7, 7), (500, 3)]
     out = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
