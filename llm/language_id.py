@@ -1,8 +1,9 @@
 """Language identification by compression: a text is encoded against one raw-content zstandard dictionary for each
 language, and the language whose dictionary makes it smallest wins; a narrow margin marks the answer as rejected.
 
-The dictionaries are fitted on a bounded sample: for each language the training documents of smallest hashed id, up to
-DICTIONARY_BYTES of their excerpts (the first EXCERPT characters). What reaches the driver is at most that sample.
+The dictionaries are fitted on a bounded sample: training documents are cut into excerpts of EXCERPT characters, and for
+each language those of smallest hash, by doc_id and place in the text, are taken up to DICTIONARY_BYTES. What reaches
+the driver is at most that sample.
 Predictions encode whole texts.
 
 Defined cases: a text that is null or has no letter gets `und`, score 0. Ties go to the language that sorts first.
@@ -38,11 +39,15 @@ def letters(text: str) -> bytes:
 
 def dictionaries(docs: DataFrame, size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """docs: text, lang, doc_id. At most size bytes of text a language come to the driver."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.xxhash64("doc_id").alias("h"), F.substring("text", 1, EXCERPT).alias("text"))
-    held = known.groupBy("lang").agg(F.sum(F.octet_length("text") + 1).alias("held"))
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "doc_id", "text")
+    last = F.greatest(F.ceil(F.char_length("text") / EXCERPT).cast("int") - 1, F.lit(0))
+    held = known.groupBy("lang").agg(F.sum(F.octet_length("text") + last + 1).alias("held"))
     # about four times the sample of each language stays; the smallest hashes of these make the sample
-    unit = F.col("h") / F.lit(2.0**64) + 0.5
-    near = known.join(F.broadcast(held), "lang").where(unit < F.lit(4.0 * size) / F.col("held")).withColumn("n", F.octet_length("text") + 1)
+    unit = lambda h: h / F.lit(2.0**64) + 0.5
+    h = lambda k: F.xxhash64("doc_id", k)
+    places = F.filter(F.sequence(F.lit(0), last), lambda k: unit(h(k)) < F.lit(4.0 * size) / F.col("held"))
+    own = known.join(F.broadcast(held), "lang").select("lang", "doc_id", F.explode(F.transform(places, lambda k: F.struct(h(k).alias("h"), F.substring("text", k * EXCERPT + 1, F.lit(EXCERPT)).alias("text")))).alias("e"))
+    near = own.select("lang", "e.h", "e.text").withColumn("n", F.octet_length("text") + 1)
     before = F.sum("n").over(Window.partitionBy("lang").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, -1))
     got = near.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < size).select("lang", "h", "text").collect()
     out: dict[str, bytes] = {}

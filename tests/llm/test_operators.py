@@ -214,6 +214,15 @@ def test_language_id(spark):
     assert language_id.dictionaries(spark.createDataFrame([], "doc_id long, text string, lang string")) == {}
 
 
+def test_dictionaries_see_whole_texts(spark):
+    rows = [(i, "header " * 200 + f"body{'abcdefghij'[i % 10]} " * 600, "en") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    own = language_id.dictionaries(docs, 20_000)["en"].decode()
+    assert "header" in own and sum(f"body{x}" in own for x in "abcdefghij") > 4 and len(own) == 20_000
+    assert language_id.dictionaries(docs.repartition(7), 20_000) == language_id.dictionaries(docs.coalesce(1), 20_000)
+    assert language_id.dictionaries(docs.limit(1).withColumn("text", F.lit(""))).keys() == {"en"}
+
+
 def test_substring_dedup(spark):
     rows = spliced([f"w{i}" for i in range(4)], " ", 6) + spliced([f"v{i}" for i in range(5000)], "\n", 7, 60) + EDGES
     rows = [(i + 1000 * (k > 152), t) if k < 216 else (i, t) for k, (i, t) in enumerate(rows)]
