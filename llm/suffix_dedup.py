@@ -6,9 +6,10 @@ of LENGTH bytes holds one at a place that its bytes alone decide; so one key a s
 fixed cover would need one for each of its elements. Suffixes are compared to the depth of LENGTH only:
 
 1. Sampled suffixes are named by their first K bytes. Names that occur once need no further comparison and are dropped.
-2. Of those that remain, suffixes that agree on all bytes of all their windows are settled by the first of them.
+2. Of those that remain, suffixes whose windows have one 64-bit hash, all bytes of all of them, are settled by the first
+   of them, with no comparison of bytes.
 3. The others meet by name. There sampled suffixes are sorted as triples: three words of their bytes are named by rank,
-   and the recursion sorts the names.
+   and one sort of the names, of fixed depth, stands in for the recursion.
 4. Remaining suffixes, those that begin l bytes before a sampled one, are merged by the l bytes and the rank of the
    sampled suffix that follows.
 5. Adjacent prefixes are compared: where LENGTH bytes agree, all but the earliest suffix are covered.
