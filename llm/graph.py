@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import discard, saved
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,10 +27,13 @@ def components(edges: DataFrame) -> DataFrame:
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     before = mark(now)
     while before[0]:
-        now = saved(_star(_star(now, True), False))
+        last, now = now, saved(_star(_star(now, True), False))
+        discard(last)
         after = mark(now)
         if after == before:
             break
         before = after
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    out = saved(roots.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+    discard(now)
+    return out

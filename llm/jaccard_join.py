@@ -1,25 +1,34 @@
 """N-gram Jaccard join, size-aware: documents are sets of word shingles, two of them link when
 PERCENT * union <= 100 * intersection, and links make components.
 
+Equal sets are one node. A node of n shingles can lack at most n - need(n) of them in a set that it links with, so
+that all others stand in a second set too. Two filters follow, and neither loses a link:
+
+1. Of a part of the universe, chosen by hash, each shingle is held against all: nodes too many of whose chosen
+   shingles stand in no second set are out (should all shingles they may lack lie in that part, the rest is shared still).
+2. The same is asked of all shingles of the nodes that are left.
+
+Heavy sets: inverted lists of shingles are scanned. A node is posted in the lists of its rarest shingles, so many that
+sets that link share one of them; how far down its order a shingle stands bounds the shingles that are common beyond
+it, and with that the sizes of sets that it can link with. A list's owners are held against one of them, in rounds
+that end when no link is found; then owners of a list that are still in different components, and whose bounds admit
+it, meet each other, all of them. Intersections are counted exactly.
+
 Light sets: all subsets of the sizes that an intersection could have are enumerated. Two sets that share a subset of
 the size of their intersection meet at it, so that its smallest owner links with all owners that link there at all:
 a star, and no pair need be verified.
 
-Heavy sets: inverted lists are scanned. The universe is divided into d + 1 parts, where d is the largest symmetric
-difference that linked sets of a size class can have; linked sets agree on a whole part at least, so lists are kept
-by part content; there are some parts more, as many as an owner leaves out of its most common. A list's owners are held against one of them, for some rounds; only owners that this leaves in different
-components, and that share enough lists, are then compared among themselves. Counts of equal elements are exact.
+The boundary between the two is chosen by cost: that size for which the subsets of all smaller nodes and the measured
+lists that all larger ones would scan are least together.
 
-The boundary between the two is chosen by cost: the largest size whose subsets are no more than its parts, with what
-a verification costs.
-
-Equal sets are one node. Lists are never gathered: their least and best owners are aggregates, and owners meet them by
-joins that Spark splits where a list is long.
+Lists are never gathered: their bounds and best owners are aggregates, and owners meet them by joins that Spark splits
+where a list is long.
 
 Defined cases: null or empty texts have the empty set, which links with nothing and is its own component. Repeated
-rows have equal sets. Rows of one doc_id are one document: if their texts differ they share a component. Rows without
-a doc_id are documents like any other: they link, and bridge others. A component is named by its least doc_id, or null
-if it has none; one_of_each keeps all rows without a doc_id, as no doc_id is smaller than none.
+rows have equal sets. Rows of one doc_id with different texts are sets of their own, each in the component that its own
+links make. Rows without a doc_id are documents like any other: they link, and bridge others. A component is named by
+its least doc_id, or null if it has none; one_of_each drops a doc_id if any of its rows has a smaller one in its
+component, and keeps all rows of the others, and all rows without a doc_id. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -28,22 +37,21 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, byte_hash, discard, map_text, mix, runs, saved, table, words
+from .common import LOWER, byte_hash, discard, map_text, mix, runs, saved, table, to_batch, words
 from .graph import components
 
 SIZE = 3
 PERCENT = 90
-#: What verifying a heavy set costs, in subsets enumerated.
+#: What holding a node against another costs, in rows of lists or subsets.
 VERIFY_COST = 64
-#: Rounds in which a list's owners are held against one of them, before all that are still apart are compared.
-ROUNDS = 4
-#: Size classes that a key has room for.
-LEVELS = 128
+#: Sets of more shingles are never light, whatever lists cost: their subsets are too many.
+LIGHT_MOST = 24
+#: Subsets that are made at once, or one node's.
+SUBSETS = 1 << 18
 _U = np.uint64
 
 
@@ -101,39 +109,36 @@ def light_sizes(size: int, percent: int = PERCENT) -> range:
     return range(-(-percent * size // 100), size + 1)
 
 
-def classes(limit: int) -> list[int]:
-    """Largest sizes of the size classes up to one that holds limit. Sets that link are in one class, or the smaller
-    set, posted there as well, is in the class before."""
-    out = [1]
-    while out[-1] < limit:
-        out.append(max(out[-1] + 1, -(-4 * out[-1] // 3)))
-    return out
+def subsets(size: int, percent: int = PERCENT) -> int:
+    return sum(comb(size, c) for c in light_sizes(size, percent))
 
 
-def parts_of(largest: int, percent: int = PERCENT) -> int:
-    """One more than the symmetric difference of linked sets of at most so many elements."""
-    return 2 * largest * (100 - percent) // (100 + percent) + 1
+def sampling(percent: int = PERCENT) -> int:
+    """One in so many shingles is held against all: a node must find over half of these in other sets."""
+    rate = 1
+    while 5 * rate * (100 - percent) <= 100:
+        rate *= 2
+    return rate
 
 
-def spare_of(largest: int, percent: int = PERCENT) -> int:
-    """Parts beyond those: linked sets agree on so many parts and one, so that each may leave out its most common."""
-    return parts_of(largest, percent) // 10 + 1
+def boundary(nodes: dict[int, int], scanned: dict[int, int], percent: int = PERCENT) -> int:
+    """The largest size of light sets, from the number of nodes of each size and the rows of lists that these meet."""
+    heavy = {n: scanned.get(n, 0) + VERIFY_COST * k for n, k in nodes.items()}
+    light = {n: subsets(n, percent) * k for n, k in nodes.items()}
+    cost = lambda most: sum(light[n] for n in nodes if n <= most) + sum(heavy[n] for n in nodes if n > most)
+    return min(range(LIGHT_MOST + 1), key=lambda most: (cost(most), most))
 
 
-def boundary(percent: int = PERCENT) -> int:
-    """The largest size of light sets: beyond it, subsets cost more than parts and verification."""
-    size = 1
-    while sum(comb(size + 1, c) for c in light_sizes(size + 1, percent)) <= 2 * parts_of(size + 1, percent) + VERIFY_COST:
-        size += 1
-    return size
+# ---------------------------------------------------------------- keys
 
 
-# ---------------------------------------------------------------- keys
+def chosen(h: np.ndarray, rate: int) -> np.ndarray:
+    return mix(h ^ _U(0x9FB21C651E98DF25)) & _U(rate - 1) == 0
 
 
-def _light(h: np.ndarray, first: np.ndarray, node: np.ndarray, most: int, percent: int) -> dict:
+def _light(h: np.ndarray, first: np.ndarray, node: np.ndarray, percent: int) -> dict:
     keys, sizes, owners, ns = [], [], [], []
-    for d in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) <= most)):
+    for d in range(len(node)):
         own = mix(h[first[d] : first[d + 1]])
         n, total = len(own), own.sum(dtype=np.uint64)
         for c in light_sizes(n, percent):
@@ -146,31 +151,6 @@ def _light(h: np.ndarray, first: np.ndarray, node: np.ndarray, most: int, percen
     return {"key": np.concatenate(keys) if keys else np.zeros(0, np.int64), "c": pa.array(sizes, pa.int32()), "v": pa.array(owners, pa.int64()), "n": pa.array(ns, pa.int64())}
 
 
-def _heavy(h: np.ndarray, first: np.ndarray, node: np.ndarray, least: int, percent: int) -> dict:
-    n = np.diff(first)
-    tops = np.array(classes(int(n.max(initial=1)) * 2 + 2))
-    own = np.searchsorted(tops, n)
-    keys, owners = [], []
-    mixed = mix(h ^ _U(0xC2B2AE3D27D4EB4F))
-    for step in (0, 1):
-        level = own + step
-        # a larger set above the class can link only with sets of enough elements
-        use = (n >= least) & ((step == 0) | (100 * n >= percent * (tops[own] + 1)))
-        for k in np.unique(level[use]):
-            parts, docs = parts_of(int(tops[k]), percent) + spare_of(int(tops[k]), percent), np.flatnonzero(use & (level == k))
-            size = n[docs]
-            take = np.repeat(first[docs] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            cell = np.repeat(np.arange(len(docs)), size) * parts + (mix(mixed[take]) % _U(parts)).astype(np.int64)
-            content = np.zeros(len(docs) * parts, np.uint64)
-            np.add.at(content, cell, mixed[take])
-            place = mix(np.arange(parts).astype(np.uint64) + _U(int(k) << 40))
-            # the class is kept in the key
-            keys.append((mix(content + np.tile(place, len(docs))) & ~_U(LEVELS - 1) | _U(k)).astype(np.int64))
-            owners.append(np.repeat(node[docs], parts))
-    join = lambda x: np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64)
-    return {"key": join(keys), "v": join(owners)}
-
-
 # ---------------------------------------------------------------- the join
 
 
@@ -179,9 +159,11 @@ class Join:
 
     def __init__(self, docs: DataFrame, size: int = SIZE, percent: int = PERCENT):
         self.docs, self.size, self.percent = docs.select("doc_id", "text"), size, percent
-        self.most = boundary(percent)
-        self.base = saved(self._map(lambda p, h, f, v: {"doc_id": p.column("doc_id"), "n": np.diff(f).astype(np.int64), "v": v}, "doc_id long, n long, v long"))
-        self.sets = self.base.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+        self.rate = rate = sampling(percent)
+        count = lambda h, f: np.diff(np.concatenate([[0], np.cumsum(chosen(h, rate))])[f])
+        self.base = saved(self._map(lambda p, h, f, v: {"doc_id": p.column("doc_id"), "n": np.diff(f).astype(np.int64), "s": count(h, f).astype(np.int64), "v": v}, "doc_id long, n long, s long, v long"))
+        #: The least intersection with a linked set.
+        self.need = f"(({percent} * n + 99) div 100)"
 
     def _map(self, f, schema: str, docs: DataFrame | None = None) -> DataFrame:
         size = self.size
@@ -192,97 +174,130 @@ class Join:
 
         return map_text(self.docs if docs is None else docs, run, schema)
 
-    def light_links(self) -> DataFrame:
-        most, percent = self.most, self.percent
-        rows = saved(self._map(lambda p, h, f, v: _light(h, f, v, most, percent), "key long, c int, v long, n long").distinct())
-        best = rows.groupBy("key", "c").agg(F.min(F.struct("n", "v")).alias("least"))
-        met = rows.join(best, ["key", "c"]).where(f"(100 + {percent}) * c >= {percent} * (n + least.n)")
-        return met.select(F.col("v").alias("u"), F.col("least.v").alias("v")).where("u <> v").distinct()
-
-    def lists(self) -> DataFrame:
-        """Owners (v, n) of each key that more than one row has, without each owner's most common keys of a class."""
-        least, percent = -(-self.percent * (self.most + 1) // 100), self.percent
-        rows = self._map(lambda p, h, f, v: _heavy(h, f, v, least, percent), "key long, v long")
-        shared = saved(rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
-        met = rows.join(shared, "key").distinct()
-        level = F.col("key").bitwiseAND(F.lit(LEVELS - 1)).cast("int")
-        spare = F.element_at(F.array(*[F.lit(spare_of(t, percent)) for t in classes(1 << 40)]), level + 1)
-        common = F.row_number().over(Window.partitionBy("v", level).orderBy(F.desc("k"), F.desc("key")))
-        kept = met.withColumn("c", common).where(F.col("c") > spare).select("key", "v")
-        out = saved(kept.join(self.sets.select("v", "n"), "v"))
+    def candidates(self) -> DataFrame:
+        """v, n, doc_id (the least) of the nodes that the first filter leaves."""
+        rate = self.rate
+
+        def rows(p: pa.RecordBatch, h: np.ndarray, f: np.ndarray, v: np.ndarray) -> dict:
+            use = chosen(h, rate)
+            return {"e": h[use].astype(np.int64), "v": np.repeat(v, np.diff(f))[use]}
+
+        all_ = self._map(rows, "e long, v long")
+        shared = saved(all_.groupBy("e").agg(F.min("v").alias("a"), F.max("v").alias("b")).where("a < b").select("e"))
+        # each of the m rows of a node counts its shingles
+        found = all_.join(shared, "e").groupBy("v").agg(F.count(F.lit(1)).alias("k"))
+        nodes = self.base.where("n > 0").groupBy("v").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("s").alias("s"), F.count(F.lit(1)).alias("m"))
+        out = saved(nodes.join(found, "v", "left").where(f"coalesce(k, 0) >= m * (s - (n - {self.need}))").select("v", "n", "doc_id"))
         discard(shared)
         return out
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), those that link, by their exact intersection."""
-        pairs = saved(pairs)
-        asked = saved(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct().join(self.sets.select("v", "doc_id"), "v"))
+    def sets(self) -> DataFrame:
+        """v, n, h (shingle hashes) of these nodes."""
+        nodes = self.candidates()
+        docs = self.docs.join(nodes.select("doc_id").distinct(), "doc_id")
         # sets of which no row has a doc_id are found by v, among all rows without one
-        docs = self.docs.join(asked.select("doc_id").distinct(), "doc_id").union(self.docs.where("doc_id IS NULL"))
-        pack = lambda p, h, f, v: {"v": v, "h": pa.array([h[x:y].tobytes() for x, y in zip(f[:-1], f[1:], strict=True)], pa.binary())}
-        sets = saved(self._map(pack, "v long, h binary", docs).join(asked.select("v"), "v").dropDuplicates(["v"]))
+        docs = docs.union(self.docs.where("doc_id IS NULL"))
+        pack = lambda p, h, f, v: {"v": v, "h": pa.ListArray.from_arrays(pa.array(f, pa.int32()), pa.array(h.astype(np.int64)))}
+        out = saved(self._map(pack, "v long, h array<long>", docs).join(nodes.select("v", "n"), "v").dropDuplicates(["v"]).select("v", "n", "h"))
+        discard(nodes)
+        return out
+
+    def lists(self, sets: DataFrame) -> DataFrame:
+        """key, k (owners of the list), and of each owner v, n and p: how many of its shingles come before in its order,
+        the rarest first."""
+        rows = sets.select("v", "n", F.explode("h").alias("e"))
+        often = saved(rows.groupBy("e").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+        met = rows.join(often, "e").groupBy("v").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("k", "e"))).alias("x"))
+        met = met.withColumn("r", F.size("x").cast("long")).where(f"r >= {self.need}")
+        prefix = met.select("v", "n", "r", F.posexplode(F.expr(f"slice(x, 1, int(r - {self.need} + 1))")).alias("j", "x"))
+        own = saved(prefix.select("v", "n", (F.col("n") - F.col("r") + F.col("j")).alias("p"), F.col("x.e").alias("key")))
+        shared = own.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+        out = saved(own.join(shared, "key").select("key", "k", "v", "n", "p"))
+        discard(often, own)
+        return out
+
+    def measured(self, sets: DataFrame, lists: DataFrame) -> int:
+        """The boundary, by what the lists of small nodes hold."""
+        small = f"n <= {LIGHT_MOST}"
+        nodes = {r["n"]: r["k"] for r in sets.where(small).groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect()}
+        scanned = {r["n"]: r["k"] for r in lists.where(small).groupBy("n").agg(F.sum("k").alias("k")).collect()}
+        return boundary(nodes, scanned, self.percent)
+
+    def light_links(self, sets: DataFrame, most: int) -> DataFrame:
         percent = self.percent
 
-        @F.pandas_udf("boolean")
-        def link(x: pd.Series, y: pd.Series) -> pd.Series:
-            out = []
-            for p, q in zip(x, y, strict=True):
-                a, b = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = np.concatenate([a, b])
-                both.sort(kind="stable")
-                same = int((both[1:] == both[:-1]).sum())
-                out.append(100 * same >= percent * (len(a) + len(b) - same))
-            return pd.Series(out, dtype=bool)
+        def run(batches):
+            for batch in batches:
+                h = batch.column("h")
+                off, values, v = np.asarray(h.offsets), np.asarray(h.values).astype(np.uint64), np.asarray(batch.column("v"))
+                total = np.cumsum([subsets(int(n), percent) for n in np.diff(off)])
+                for part in np.split(np.arange(len(v)), np.searchsorted(total, np.arange(1, total[-1] // SUBSETS + 1) * SUBSETS)) if len(v) else []:
+                    yield to_batch(_light(values, off[part[0] : part[-1] + 2], v[part], percent)) if len(part) else to_batch(_light(values, off[:1], v[:0], percent))
+
+        rows = saved(sets.where(f"n <= {most}").select("v", "h").mapInArrow(run, "key long, c int, v long, n long"))
+        best = rows.groupBy("key", "c").agg(F.min(F.struct("n", "v")).alias("least"))
+        met = rows.join(best, ["key", "c"]).where(f"(100 + {percent}) * c >= {percent} * (n + least.n)")
+        out = saved(met.select(F.col("v").alias("u"), F.col("least.v").alias("v")).where("u <> v").distinct())
+        discard(rows)
+        return out
 
+    def fits(self, n: str, p: str, m: str, q: str) -> str:
+        """Whether sets of n and m shingles that share one with p and q before it can have enough in common."""
+        return f"(100 + {self.percent}) * least({n} - {p}, {m} - {q}) >= {self.percent} * ({n} + {m})"
+
+    def verified(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """Of pairs (a, b), those that link, by their exact intersection, as edges (u, v)."""
         one, two = (sets.select(F.col("v").alias(k), F.col("h").alias(f"h{k}")) for k in "ab")
-        return pairs.join(one, "a").join(two, "b").where(link("ha", "hb")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        met = pairs.join(one, "a").join(two, "b")
+        both = F.size(F.array_intersect("ha", "hb"))
+        link = (100 + self.percent) * both >= self.percent * (F.size("ha") + F.size("hb"))
+        return met.where(link).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
     def components(self) -> DataFrame:
         """v, root for each set that links with another."""
-        percent, lists = self.percent, self.lists()
-        fits = f"100 * least(n, m) >= {percent} * greatest(n, m)"
-        shares = saved(lists.groupBy("v").agg((F.count(F.lit(1)) / F.first("n")).alias("share")))
-        links, tried, roots = saved(self.light_links()), None, None
-        for _ in range(ROUNDS):
-            roots = saved(components(links))
+        sets = self.sets()
+        all_lists = self.lists(sets)
+        most = self.measured(sets, all_lists)
+        links = self.light_links(sets, most)
+        # a light set can link with heavy ones of little more
+        lists = all_lists.where(f"n >= {-(-self.percent * (most + 1) // 100)}")
+        tried = None
+        while True:
+            roots = components(links)
             left = self._apart(lists, roots)
-            # a list's owners are held against one of them: of the largest component, and with the most shared lists
+            # a list's owners are held against one of them: of the largest component, and with the best bound
             sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-            rank = left.join(shares, "v").join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-            best = rank.groupBy("key").agg(F.max(F.struct("size", "share", "v", "n", "root")).alias("best"))
-            met = left.join(best, "key").select("v", "n", "root", F.col("best.v").alias("to"), F.col("best.n").alias("m"), F.col("best.root").alias("other")).where("root <> other").where(fits)
-            pairs = met.select(F.least("v", "to").alias("a"), F.greatest("v", "to").alias("b"), "v")
+            rank = left.join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+            best = rank.groupBy("key").agg(F.max(F.struct("size", (F.col("n") - F.col("p")).alias("rest"), "v", "n", "p", "root")).alias("best"))
+            met = left.join(best, "key").where(f"root <> best.root AND {self.fits('n', 'p', 'best.n', 'best.p')}")
+            pairs = met.select("v", F.least("v", F.col("best.v")).alias("a"), F.greatest("v", F.col("best.v")).alias("b"))
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             counted = pairs.groupBy("v", "a", "b").agg(F.count(F.lit(1)).alias("k")).groupBy("v").agg(F.max(F.struct("k", "a", "b")).alias("p"))
             new = saved(counted.select("p.a", "p.b").distinct())
-            if new.isEmpty():
-                break
-            tried = new if tried is None else saved(tried.union(new))
-            found = saved(self.verified(new))
-            links = saved(links.union(found))
+            found = saved(self.verified(new, sets))
+            before, tried = tried, new if tried is None else saved(tried.union(new))
             if found.isEmpty():
                 break
-        roots = saved(components(links))
-        # owners of a list that are still apart; they share so many lists if they link
-        left = self._apart(lists, roots)
-        level = F.col("key").bitwiseAND(F.lit(LEVELS - 1)).cast("int")
-        parts = F.element_at(F.array(*[F.lit(parts_of(t, percent)) for t in classes(1 << 40)]), F.col("level") + 1)
-        other = left.select("key", F.col("v").alias("w"), F.col("n").alias("m"), F.col("root").alias("other"))
-        met = left.join(other, "key").where("v < w AND root <> other").where(fits)
-        shared = met.groupBy(F.col("v").alias("a"), F.col("w").alias("b"), level.alias("level"), "n", "m").agg(F.count(F.lit(1)).alias("k"))
-        allowed = F.floor((F.col("n") + F.col("m")) * (100 - percent) / (100 + percent))
-        rest = shared.where(F.col("k") >= parts - allowed).select("a", "b").distinct()
-        more = saved(self.verified(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti")))
-        if more.isEmpty():
-            return roots
-        return saved(components(links.union(more)))
+            old, links = links, saved(links.union(found))
+            discard(old, found, roots, left, *([] if before is None else [before, new]))
+        # owners of a list that are still apart, all against all that their bounds admit
+        other = left.select("key", F.col("v").alias("w"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("root").alias("other"))
+        met = left.join(other, "key").where(f"v < w AND root <> other AND {self.fits('n', 'p', 'm', 'q')}")
+        rest = met.select(F.col("v").alias("a"), F.col("w").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        more = saved(self.verified(saved(rest), sets))
+        out = roots if more.isEmpty() else components(saved(links.union(more)))
+        discard(sets, all_lists, left)
+        return out
 
     def _apart(self, lists: DataFrame, roots: DataFrame) -> DataFrame:
-        """The rows of lists whose owners are in different components, with these."""
+        """The rows of lists whose owners are in different components, with these, but for rows that no size in the
+        list fits."""
         at = saved(lists.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v")))
-        split = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-        left = saved(at.join(split, "key"))
+        p = self.percent
+        most = f"((100 + {p}) * (n - p) div {p}) - n"
+        split = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("n").alias("small"), F.max("n").alias("large"), F.max(F.expr(most)).alias("reach")).where("x < y")
+        left = saved(at.join(split, "key").where(f"{most} >= small AND {self.need} <= large AND n <= reach").select("key", "v", "n", "p", "root"))
         discard(at)
         return left
 
@@ -290,10 +305,14 @@ class Join:
 def join_documents(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     j = Join(docs, size, percent)
+    own = j.base.where("n > 0")
     roots = j.components()
-    own = j.base.where("n > 0").join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
-    least = own.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = own.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    nodes = own.groupBy("v").agg(F.min("doc_id").alias("least"))
+    at = nodes.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v"))
+    least = saved(at.groupBy("root").agg(F.min("least").alias("component_id")))
+    known = saved(at.join(least, "root").select("v", "component_id"))
+    out = own.join(known, "v").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    discard(least)
     return out.union(j.base.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id")))
 
 
