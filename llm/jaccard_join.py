@@ -10,9 +10,9 @@ that all others stand in a second set too. Two filters follow, and neither loses
 
 Heavy sets: inverted lists of shingles are scanned. A node is posted in the lists of its rarest shingles, so many that
 sets that link share one of them; how far down its order a shingle stands bounds the shingles that are common beyond
-it, and with that the sizes of sets that it can link with. A list's owners are held against one of them, in rounds
-that end when no link is found; then owners of a list that are still in different components, and whose bounds admit
-it, meet each other, all of them. Intersections are counted exactly.
+it, and with that the sizes of sets that it can link with. A list's owners are held against one of them, in rounds that
+end when they bring few links more; then owners of a list that are still in different components, and whose bounds
+admit it, meet each other, all of them. Intersections are counted exactly.
 
 Light sets: all subsets of the sizes that an intersection could have are enumerated. Two sets that share a subset of
 the size of their intersection meet at it, so that its smallest owner links with all owners that link there at all:
@@ -50,6 +50,8 @@ PERCENT = 90
 VERIFY_COST = 64
 #: Sets of more shingles are never light, whatever lists cost: their subsets are too many.
 LIGHT_MOST = 24
+#: Rounds end when one brings no more links than the first, divided by this.
+ENOUGH = 16
 #: Subsets that are made at once, or one node's.
 SUBSETS = 1 << 18
 _U = np.uint64
@@ -261,7 +263,7 @@ class Join:
         links = self.light_links(sets, most)
         # a light set can link with heavy ones of little more
         lists = all_lists.where(f"n >= {-(-self.percent * (most + 1) // 100)}")
-        tried = None
+        tried, first = None, 0
         while True:
             roots = components(links)
             left = self._apart(lists, roots)
@@ -276,11 +278,14 @@ class Join:
             counted = pairs.groupBy("v", "a", "b").agg(F.count(F.lit(1)).alias("k")).groupBy("v").agg(F.max(F.struct("k", "a", "b")).alias("p"))
             new = saved(counted.select("p.a", "p.b").distinct())
             found = saved(self.verified(new, sets))
+            number = found.count()
+            old, links = links, saved(links.union(found))
             before, tried = tried, new if tried is None else saved(tried.union(new))
-            if found.isEmpty():
+            discard(old, found, *([] if before is None else [before, new]))
+            first = first or number
+            if ENOUGH * number <= first:
                 break
-            old, links = links, saved(links.union(found))
-            discard(old, found, roots, left, *([] if before is None else [before, new]))
+            discard(roots, left)
         # owners of a list that are still apart, all against all that their bounds admit
         other = left.select("key", F.col("v").alias("w"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("root").alias("other"))
         met = left.join(other, "key").where(f"v < w AND root <> other AND {self.fits('n', 'p', 'm', 'q')}")
