@@ -52,6 +52,8 @@ VERIFY_COST = 64
 LIGHT_MOST = 24
 #: Rounds end when one brings no more links than the first, divided by this.
 ENOUGH = 16
+#: Ids of documents, 8 bytes each, that are broadcast.
+BROADCAST_IDS = 1 << 21
 #: Subsets that are made at once, or one node's.
 SUBSETS = 1 << 18
 _U = np.uint64
@@ -196,7 +198,9 @@ class Join:
     def sets(self) -> DataFrame:
         """v, n, h (shingle hashes) of these nodes."""
         nodes = self.candidates()
-        docs = self.docs.join(nodes.select("doc_id").distinct(), "doc_id")
+        ids = nodes.select("doc_id").distinct()
+        # texts stay where they are if their ids are few; else both sides are dealt out by id
+        docs = self.docs.join(F.broadcast(ids) if nodes.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
         # sets of which no row has a doc_id are found by v, among all rows without one
         docs = docs.union(self.docs.where("doc_id IS NULL"))
         pack = lambda p, h, f, v: {"v": v, "h": pa.ListArray.from_arrays(pa.array(f, pa.int32()), pa.array(h.astype(np.int64)))}
@@ -213,9 +217,9 @@ class Join:
         met = met.withColumn("r", F.size("x").cast("long")).where(f"r >= {self.need}")
         prefix = met.select("v", "n", "r", F.posexplode(F.expr(f"slice(x, 1, int(r - {self.need} + 1))")).alias("j", "x"))
         own = saved(prefix.select("v", "n", (F.col("n") - F.col("r") + F.col("j")).alias("p"), F.col("x.e").alias("key")))
-        shared = own.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+        shared = saved(own.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
         out = saved(own.join(shared, "key").select("key", "k", "v", "n", "p"))
-        discard(often, own)
+        discard(often, own, shared)
         return out
 
     def measured(self, sets: DataFrame, lists: DataFrame) -> int:
@@ -270,7 +274,7 @@ class Join:
             # a list's owners are held against one of them: of the largest component, and with the best bound
             sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
             rank = left.join(sizes, "root", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-            best = rank.groupBy("key").agg(F.max(F.struct("size", (F.col("n") - F.col("p")).alias("rest"), "v", "n", "p", "root")).alias("best"))
+            best = saved(rank.groupBy("key").agg(F.max(F.struct("size", (F.col("n") - F.col("p")).alias("rest"), "v", "n", "p", "root")).alias("best")))
             met = left.join(best, "key").where(f"root <> best.root AND {self.fits('n', 'p', 'best.n', 'best.p')}")
             pairs = met.select("v", F.least("v", F.col("best.v")).alias("a"), F.greatest("v", F.col("best.v")).alias("b"))
             if tried is not None:
@@ -281,7 +285,7 @@ class Join:
             number = found.count()
             old, links = links, saved(links.union(found))
             before, tried = tried, new if tried is None else saved(tried.union(new))
-            discard(old, found, *([] if before is None else [before, new]))
+            discard(old, found, best, *([] if before is None else [before, new]))
             first = first or number
             if ENOUGH * number <= first:
                 break
@@ -301,9 +305,9 @@ class Join:
         at = saved(lists.join(roots.withColumnRenamed("node", "v"), "v", "left").withColumn("root", F.coalesce("root", "v")))
         p = self.percent
         most = f"((100 + {p}) * (n - p) div {p}) - n"
-        split = at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("n").alias("small"), F.max("n").alias("large"), F.max(F.expr(most)).alias("reach")).where("x < y")
+        split = saved(at.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("n").alias("small"), F.max("n").alias("large"), F.max(F.expr(most)).alias("reach")).where("x < y"))
         left = saved(at.join(split, "key").where(f"{most} >= small AND {self.need} <= large AND n <= reach").select("key", "v", "n", "p", "root"))
-        discard(at)
+        discard(at, split)
         return left
 
 
