@@ -124,8 +124,32 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     return out
 
 
-def tokenizer(path: str) -> Remembering:
-    """Encodes by the tokenizers library. Special tokens' strings are ordinary text."""
+class Encoder:
+    """Encodes as the tokenizers library does. Its added tokens (special ones among them) are strings that it finds in
+    a text before anything else; texts that hold one go to the library whole."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
+        self.plain = remembering(path)
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all documents, and where each document's begin."""
+        ids, at = self.plain.encode(data, off)
+        raw = data.tobytes()
+        if not any(t in raw for t in self.added):
+            return ids, at
+        own = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        for d, (a, b) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+            if any(raw.find(t, a, b) >= 0 for t in self.added):
+                own[d] = np.array(self.library.encode(raw[a:b].decode(), add_special_tokens=False).ids, np.int32)
+        return np.concatenate(own), np.concatenate([[0], np.cumsum([len(x) for x in own])])
+
+
+def remembering(path: str) -> Remembering:
+    """Encodes texts without added tokens by the library, a match of the pattern at a time."""
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
@@ -166,7 +190,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
 
     def run(batches):
-        encoder, block, seen = tokenizer(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        encoder, block, seen = Encoder(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
         for batch in text_pieces(batches, limit=2 << 20):
             ids, at = encoder.encode(*utf8(batch.column("text")))
             rows: list[tuple] = []

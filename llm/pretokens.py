@@ -80,6 +80,9 @@ class Remembering:
         self.starts = np.zeros(0, np.int64)
         self.sizes = np.zeros(0, np.int64)
         self.pool, self.used = np.zeros(1 << 16, np.int32), 0
+        #: Bytes of the matches, and where each one's begin: hashes that agree are not taken for equality.
+        self.bytes, self.filled = np.zeros(1 << 16, np.uint8), 0
+        self.begins, self.widths = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, keys: np.ndarray, matches: list[bytes]) -> None:
         if len(self.keys) + len(keys) > REMEMBERED:
@@ -91,7 +94,14 @@ class Remembering:
         self.pool[self.used : self.used + total] = ids
         starts = self.used + np.cumsum(sizes) - sizes
         self.used += total
+        raw, widths = np.frombuffer(b"".join(matches), np.uint8), np.array([len(m) for m in matches], np.int64)
+        while self.filled + len(raw) > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros(len(self.bytes), np.uint8)])
+        self.bytes[self.filled : self.filled + len(raw)] = raw
+        begins = self.filled + np.cumsum(widths) - widths
+        self.filled += len(raw)
         at = np.searchsorted(self.keys, keys)
+        self.begins, self.widths = np.insert(self.begins, at, begins), np.insert(self.widths, at, widths)
         self.keys, self.starts, self.sizes = np.insert(self.keys, at, keys), np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,8 +122,24 @@ class Remembering:
                 self.forget()
                 self.learn(keys, [raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)])
         at = np.searchsorted(self.keys, keys)
+        # matches stand one after the other, so that all bytes are compared with those remembered for their hashes
+        width, known = end - start, self.widths[at][back]
+        if (width != known).any() or (data != self.bytes[np.repeat(self.begins[at][back] - start, width) + np.arange(len(data))]).any():
+            return self._apart(data, off, start, end)
         size = self.sizes[at][back]
         total = np.cumsum(size)
         where = np.repeat(self.starts[at][back] - (total - size), size) + np.arange(total[-1])
         bounds = np.concatenate([[0], total])[np.searchsorted(start, off)]
         return self.pool[where], bounds
+
+    def _apart(self, data: np.ndarray, off: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same without hashes, for the piece in which two matches have one."""
+        raw = data.tobytes()
+        matches = [raw[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]
+        number = {m: i for i, m in enumerate(dict.fromkeys(matches))}
+        sizes, ids = self.encode_new(list(number))
+        item = np.array([number[m] for m in matches])
+        size, first = sizes[item], (np.cumsum(sizes) - sizes)[item]
+        total = np.cumsum(size)
+        where = np.repeat(first - (total - size), size) + np.arange(total[-1])
+        return np.asarray(ids, np.int32)[where], np.concatenate([[0], total])[np.searchsorted(start, off)]
