@@ -10,8 +10,10 @@ own top k, which are merged.
 Vectors are indexed in shards of bounded size, queries come in blocks of bounded size, and each (block, shard) pair is
 one row of work.
 
-Defined cases: vectors that are null or hold null or non-finite components take no part, neither as queries nor as
-candidates. Shorter vectors count as filled with zeros. Ties go to the smaller vec_id. Of repeated rows each is a
+Defined cases: vectors that are null or hold null or non-finite components (before or after scaling) take no part,
+neither as queries nor as candidates. Shorter vectors count as filled with zeros, and empty ones score 0. Scores beyond
+64 bits are the nearest 64-bit integer, and ties then. Where sums of products could leave what doubles hold exactly, a
+shard is scored in whole by integers of any length. Ties go to the smaller vec_id. Of repeated rows each is a
 candidate, except for a query of the same vec_id.
 """
 
@@ -20,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import saved, table
@@ -37,8 +39,13 @@ def integers(vectors: DataFrame, key: str = "vec_id", column: str = "embedding",
     c = F.col(column)
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     return vectors.where(F.col(key).isNotNull() & c.isNotNull() & F.forall(c, fine)).select(
-        F.col(key).cast("long").alias("vec_id"), F.transform(c, lambda x: F.floor(x.cast("double") * F.lit(scale)).cast("double")).alias("x")
-    )
+        F.col(key).cast("long").alias("vec_id"), F.transform(c, lambda x: _floor(x.cast("double") * F.lit(scale))).alias("x")
+    ).where(F.forall("x", lambda x: F.abs(x) < F.lit(float("inf"))))
+
+
+def _floor(x: Column) -> Column:
+    """floor() makes longs; from 2**53 on doubles are whole as they are."""
+    return F.when(F.abs(x) < F.lit(2.0**53), F.floor(x).cast("double")).otherwise(x)
 
 
 def packed(vectors: DataFrame, size: int) -> DataFrame:
@@ -68,7 +75,8 @@ def packed(vectors: DataFrame, size: int) -> DataFrame:
 
 
 def unpack(ids: bytes, dims: int, x: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(x, np.float64).reshape(-1, dims)
+    own = np.frombuffer(ids, np.int64)
+    return own, np.frombuffer(x, np.float64).reshape(len(own), dims)
 
 
 class Shard:
@@ -78,20 +86,25 @@ class Shard:
         self.ids, self.x = ids, x
         self.order = np.argsort(x, axis=0, kind="stable").T
         self.sorted = np.take_along_axis(x, self.order.T, axis=0).T.copy()
-        # sums of products stay exact in doubles below 2**53
         self.size = np.abs(x).max(initial=0) * max(1, x.shape[1])
 
+    def fits(self, q: np.ndarray) -> bool:
+        """Whether sums of products stay exact in doubles."""
+        return self.size * np.abs(q).max(initial=0) < 2.0**53
+
     def exact(self, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
-        if self.size * np.abs(q).max(initial=0) < 2.0**53:
+        if self.fits(q):
             return (self.x[rows] @ q).astype(np.int64)
-        return self.x[rows].astype(np.int64) @ q.astype(np.int64)
+        whole = [int(v) for v in q]
+        most = (1 << 63) - 1
+        return np.array([max(-most - 1, min(most, sum(int(a) * b for a, b in zip(r, whole, strict=True)))) for r in self.x[rows]], np.int64)
 
     def best(self, query: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best but the query's own."""
         dims = min(len(q), self.x.shape[1])
         q, n = q[:dims], len(self.ids)
         others = int((self.ids != query).sum())
-        if not dims or others <= k:
+        if not dims or others <= k or not self.fits(q):
             rows = np.flatnonzero(self.ids != query)
             return self._top(rows, np.zeros(len(rows), np.int64) if not dims else self._scores(rows, q), k)
         low = np.minimum(q * self.sorted[:dims, 0], q * self.sorted[:dims, -1])
