@@ -17,7 +17,8 @@ fixed cover would need one for each of its elements. Suffixes are compared to th
 Names with very many different surroundings are not gathered: each of their windows is a row of its own, grouped by hash.
 
 Defined cases: a null text is empty. Texts shorter than LENGTH bytes keep all. Rows without a doc_id keep all. Rows that
-repeat take no bytes from each other; rows of one doc_id must have equal texts.
+repeat take no bytes from each other. Rows of one doc_id with different texts are one document, and a string starts
+where it starts in any of them: those that start it at the least place keep it, later places lose it.
 """
 
 from __future__ import annotations
@@ -127,7 +128,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 class Repeats:
     def __init__(self, docs: DataFrame, length: int = LENGTH, k: int = K):
-        self.docs, self.length, self.k = docs.select("doc_id", "text"), length, k
+        self.docs, self.length, self.k = docs.select("doc_id", F.xxhash64("text").alias("row"), "text"), length, k
         self.scratch: list[DataFrame] = []
 
     def _saved(self, df: DataFrame) -> DataFrame:
@@ -141,23 +142,24 @@ class Repeats:
             x = Sample(data, off, length, k)
             if not all_:
                 return {"name": x.name.astype(np.int64)}
-            return {"name": x.name.astype(np.int64), "doc_id": piece.column("doc_id").take(pa.array(x.doc)), "code": x.code, "around": x.around.astype(np.int64)}
+            take = pa.array(x.doc)
+            return {"name": x.name.astype(np.int64), "doc_id": piece.column("doc_id").take(take), "row": piece.column("row").take(take), "code": x.code, "around": x.around.astype(np.int64)}
 
-        return map_text(self.docs.where("doc_id IS NOT NULL"), run, "name long" + ", doc_id long, code long, around long" * all_)
+        return map_text(self.docs.where("doc_id IS NOT NULL"), run, "name long" + ", doc_id long, row long, code long, around long" * all_)
 
     def ranges(self) -> DataFrame:
-        """doc_id, first, last: windows (by first byte) that start earlier, in ranges."""
+        """doc_id, row, first, last: windows (by first byte) that start earlier, in ranges."""
         length, k = self.length, self.k
         often = self._saved(self._rows(False).groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"))
         rows = self._saved(self._rows(True).join(often, "name"))
-        groups = self._saved(rows.groupBy("name", "around").agg(F.min(F.struct("doc_id", "code")).alias("least")))
+        groups = self._saved(rows.groupBy("name", "around").agg(F.min(F.struct("doc_id", "code", "row")).alias("least")))
         later = rows.join(groups, ["name", "around"]).where("doc_id > least.doc_id OR code > least.code")
         start, place = F.expr("(code >> 8) & 255"), F.expr("code >> 16")
-        settled = later.select("doc_id", (place - start).alias("first"), (place - F.expr("code & 255")).alias("last"))
+        settled = later.select("doc_id", "row", (place - start).alias("first"), (place - F.expr("code & 255")).alias("last"))
         mixed = groups.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name", (F.col("n") > HOT).alias("hot"))
-        asked = groups.join(mixed, "name").select("least.doc_id", "least.code", "hot")
-        asked = self._saved(asked.groupBy("doc_id").agg(F.sort_array(F.collect_set("code")).alias("code"), F.sort_array(F.collect_set(F.when(F.col("hot"), F.col("code")))).alias("hot")))
-        here = self.docs.join(asked, "doc_id")
+        asked = groups.join(mixed, "name").select("least.doc_id", "least.row", "least.code", "hot")
+        asked = self._saved(asked.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("code")).alias("code"), F.sort_array(F.collect_set(F.when(F.col("hot"), F.col("code")))).alias("hot")))
+        here = self.docs.join(asked, ["doc_id", "row"])
 
         def bodies(piece: pa.RecordBatch, data: np.ndarray, off: np.ndarray) -> dict:
             code, counts = _lists(piece.column("code"))
@@ -169,7 +171,7 @@ class Repeats:
             s, e = at - (code >> 8 & 0xFF), at - (code & 0xFF) + length
             raw = data.tobytes()
             return {
-                "name": byte_hash(data)(at, at + k).astype(np.int64), "doc_id": piece.column("doc_id").take(pa.array(doc)), "code": code,
+                "name": byte_hash(data)(at, at + k).astype(np.int64), "doc_id": piece.column("doc_id").take(pa.array(doc)), "row": piece.column("row").take(pa.array(doc)), "code": code,
                 "body": pa.array([raw[x:y] for x, y in zip(s.tolist(), e.tolist(), strict=True)], pa.binary()),
             }
 
@@ -178,7 +180,7 @@ class Repeats:
             n = (hot >> 8 & 0xFF) - (hot & 0xFF) + 1
             at = np.repeat(off[runs(counts)] + (hot >> 16) - (hot >> 8 & 0xFF), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             doc = np.repeat(runs(counts), n)
-            return {"bytes": byte_hash(data)(at, at + length).astype(np.int64), "doc_id": piece.column("doc_id").take(pa.array(doc)), "first": at - off[doc]}
+            return {"bytes": byte_hash(data)(at, at + length).astype(np.int64), "doc_id": piece.column("doc_id").take(pa.array(doc)), "row": piece.column("row").take(pa.array(doc)), "first": at - off[doc]}
 
         def sort(batches):
             held: list[pd.DataFrame] = []
@@ -186,7 +188,7 @@ class Repeats:
             def done(pdf: pd.DataFrame) -> pd.DataFrame:
                 row, first, last = covered(pdf["name"].to_numpy(), pdf["doc_id"].to_numpy(), pdf["code"].to_numpy(), pdf["body"].tolist(), length)
                 at = pdf["code"].to_numpy()[row] >> 16
-                return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[row], "first": at - last, "last": at - first})
+                return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[row], "row": pdf["row"].to_numpy()[row], "first": at - last, "last": at - first})
 
             for pdf in batches:
                 held.append(pdf)
@@ -200,20 +202,20 @@ class Repeats:
             if held:
                 yield done(pd.concat(held, ignore_index=True))
 
-        meet = map_text(here, bodies, "name long, doc_id long, code long, body binary").repartition("name").sortWithinPartitions("name")
-        found = settled.union(meet.mapInPandas(sort, "doc_id long, first long, last long"))
+        meet = map_text(here, bodies, "name long, doc_id long, row long, code long, body binary").repartition("name").sortWithinPartitions("name")
+        found = settled.union(meet.mapInPandas(sort, "doc_id long, row long, first long, last long"))
         if not asked.where(F.size("hot") > 0).isEmpty():
-            rows = self._saved(map_text(here.where(F.size("hot") > 0), windows, "bytes long, doc_id long, first long"))
+            rows = self._saved(map_text(here.where(F.size("hot") > 0), windows, "bytes long, doc_id long, row long, first long"))
             least = rows.groupBy("bytes").agg(F.min(F.struct("doc_id", "first")).alias("least"))
             again = rows.join(least, "bytes").where("doc_id > least.doc_id OR first > least.first")
-            found = found.union(again.select("doc_id", "first", F.col("first").alias("last")))
+            found = found.union(again.select("doc_id", "row", "first", F.col("first").alias("last")))
         return found
 
     def removals(self) -> DataFrame:
-        """doc_id, and first and last of its ranges as arrays."""
+        """doc_id and row, and first and last of its ranges as arrays."""
         ranges = saved(self.ranges())
         discard(*self.scratch)
-        return ranges.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("r")).select("doc_id", "r.first", "r.last")
+        return ranges.groupBy("doc_id", "row").agg(F.collect_set(F.struct("first", "last")).alias("r")).select("doc_id", "row", "r.first", "r.last")
 
 
 def removed_bytes(piece: pa.RecordBatch, data: np.ndarray, off: np.ndarray, length: int) -> np.ndarray:
@@ -234,8 +236,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
         kept = [hashlib.sha256(data[a:b][~gone[a:b]].tobytes()).hexdigest() for a, b in zip(off[:-1], off[1:], strict=True)]
         return {"doc_id": piece.column("doc_id"), "n_bytes": np.diff(off), "n_removed": total(gone), "n_spans": total(begins), "kept_sha256": kept}
 
-    found = Repeats(docs, length, k).removals()
-    return map_text(docs.select("doc_id", "text").join(found, "doc_id", "left"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    repeats = Repeats(docs, length, k)
+    return map_text(repeats.docs.join(repeats.removals(), ["doc_id", "row"], "left"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
@@ -258,8 +260,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
         return {c: columns[c] for c in names}
 
     # the other columns travel as one, whatever their names
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), "text")
-    joined = whole.join(found, F.col("rest.doc_id") == F.col("doc_id"), "left").select("rest", "text", "first", "last")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), "text", F.xxhash64("text").alias("own"))
+    joined = whole.join(found, (F.col("rest.doc_id") == F.col("doc_id")) & (F.col("own") == F.col("row")), "left").select("rest", "text", "first", "last")
     return map_text(joined, run, docs.schema)
 
 
