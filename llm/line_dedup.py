@@ -1,5 +1,6 @@
 """Site-relative line deduplication: rows are pages grouped by host; a line that more than `ratio` of a host's pages
-hold, and at least `min_pages` of them, is boilerplate of that host and goes from its pages.
+hold, and at least `min_pages` of them, is boilerplate of that host and goes from its pages. By default these are two,
+so that the ratio decides on hosts of any size, and a page by itself keeps its lines.
 
 A host has at most (lines on a page) / ratio boilerplate lines, so that a host's list of their hashes is bounded
 whatever the number of its pages; counts are added up before the shuffle, so that a hot host or line costs no more
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from .common import fresh, saved, table
 
 RATIO = 0.05
-MIN_PAGES = 5
+#: What one page holds repeats nothing.
+MIN_PAGES = 2
 #: Boilerplate lines of all hosts up to which their hashes (16 bytes each) are broadcast.
 BROADCAST_LINES = 200_000
 SALTS = 32
