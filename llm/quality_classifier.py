@@ -7,7 +7,8 @@ Fitting takes every labelled row of the training folds: only counts, sums and ou
 statistics are added up, so what reaches the driver does not depend on the number of rows.
 
 Defined cases: null and empty texts get the statistics of an empty text and so a score. A document labelled more than
-once counts once, with its highest label; null labels don't count. With labels of one class only, that class is
+once counts once, with its highest label; null labels don't count. Of rows of one doc_id with different texts, that of
+the least statistics is learnt from, and each is scored. With labels of one class only, that class is
 certain (score 0 or 1); with none, every score is 0.5.
 """
 
@@ -25,6 +26,8 @@ from .common import SPACE, map_text, pieces, saved, table, unsigned_crc, utf8
 from .quality_rules import BARS, LETTERS, MARKS, SYMBOLS, UPPER, Lines
 
 THRESHOLD = 0.3
+#: Ids of labelled documents, 8 bytes each, that are broadcast; beyond, both sides are dealt out by id.
+BROADCAST_IDS = 1 << 21
 FEATURES = (
     "words", "word_length", "symbols", "exclamations", "bars", "capitals", "repeats", "echoes", "line_length", "stops", "commas", "digits", "wide", "repeated_lines", "marks",
 )
@@ -133,7 +136,7 @@ def one_label(labels: DataFrame, column: str = "quality") -> DataFrame:
 
 def train(x: DataFrame, labels: DataFrame) -> Discriminant | float:
     """Fits on features x (doc_id, x) of the folds that are not held out: every fifth document by crc32 of its id is."""
-    rows = x.where(~held_out()).dropDuplicates(["doc_id"]).join(one_label(labels), "doc_id")
+    rows = x.where(~held_out()).groupBy("doc_id").agg(F.min("x").alias("x")).join(one_label(labels), "doc_id")
     return fit(rows.select("x", "label"))
 
 
@@ -149,7 +152,10 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose text scores at least the threshold."""
-    model = train(saved(features(docs)), labels)
+    # only labelled documents are learnt from, so that only theirs need statistics
+    ids = labels.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    model = train(features(docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")), labels)
 
     def good(batches):
         for piece in pieces(batches):
