@@ -25,6 +25,40 @@ def base_counts(text):
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(inside)
 
 
+PHRASES = (
+    "licensed under", "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies",
+    "javascript", "lorem ipsum", "click here", "subscribe to", "sign up", "log in", "back to top", "share this", "powered by",
+)
+
+
+def judged(text):
+    """Whether the line rules keep a text, line by line."""
+    t = text or ""
+    every, total, lost, seen, before = WORD.findall(t), 0, 0, set(), None
+    if len(every) < 50 or 100 * base_counts(t)[4] > 50 * len(every):
+        return False
+    for line in t.split("\n"):
+        w = WORD.findall(line)
+        if not w:
+            continue
+        echo = 0
+        for x in w:
+            echo += x == before
+            before = x
+        n, letters = len(w), sum(c.isascii() and c.isalpha() for c in line)
+        bad = n >= 5 and sum("A" <= c <= "Z" for c in line) > 0.7 * letters
+        bad |= sum(c in "#*$%&<>!" for c in line) > 0.34 * n
+        bad |= n < 3 and w[-1][-1].isascii() and w[-1][-1] not in ".!?\"';:)]"
+        bars = sum(c in "|>" for c in line)
+        bad |= bars >= 3 and bars > 0.15 * n
+        bad |= line in seen or (n >= 8 and echo > 0.4 * n)
+        bad |= any(p in line.translate(_SMALL) for p in PHRASES)
+        seen.add(line)
+        total += sum(map(len, w))
+        lost += bad * sum(map(len, w))
+    return lost / max(total, 1) <= 0.3
+
+
 def removed_bytes(rows, n=100):
     least, raw = {}, [(i, (t or "").encode()) for i, t in rows]
     for i, b in raw:
