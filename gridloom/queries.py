@@ -247,13 +247,15 @@ _add(
 
 # ---------------------------------------------------------------- images
 
-I_GRID = Grid.of({"left": 0, "right": 10, "bottom": 0, "top": 5, "t0": "1995-01", "t1": "1995-12"}, dx=1, dy=1, dt="P3M")
+I_GRID = Grid.of({"left": 0, "right": 10, "bottom": 0, "top": 5, "t0": "1995-01", "t1": "2001-12"}, dx=1, dy=1, dt="P3M")
+#: Months from 1995 on, 1 for its January.
+_MONTH = (F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate")
 
 
 def _catalogue(spark: SparkSession, d: str) -> Collection:
     """Orders by month and customer modulo 7 as images."""
-    o = read(spark, d, "orders").where("o_orderdate >= '1995-01-01' AND o_orderdate < '1996-01-01'")
-    images = o.groupBy((F.month("o_orderdate") * 7 + F.col("o_custkey") % 7).cast("int").alias("id")).agg(F.date_format(F.date_trunc("month", F.min("o_orderdate")), "yyyy-MM-dd'T'HH:mm:ss").alias("datetime"))
+    o = read(spark, d, "orders")
+    images = o.groupBy((_MONTH * 7 + F.col("o_custkey") % 7).cast("int").alias("id")).agg(F.date_format(F.date_trunc("month", F.min("o_orderdate")), "yyyy-MM-dd'T'HH:mm:ss").alias("datetime"))
     images = images.selectExpr("id", "concat('image', id) AS name", "0D AS left", "5D AS top", "0D AS bottom", "10D AS right", "datetime", "'EPSG:4326' AS proj")
     refs = images.selectExpr("id AS image_id", "1 AS band_id", "name AS descriptor", "1 AS band_num").union(images.selectExpr("id", "2", "name", "2"))
     return Collection.of(spark, images=images, gdalrefs=refs, bands=[(1, "total", "float64", 0.0, 1.0, "", "-1"), (2, "quality", "uint8", 0.0, 1.0, "", "")])
@@ -261,16 +263,18 @@ def _catalogue(spark: SparkSession, d: str) -> Collection:
 
 def _pixels(spark: SparkSession, d: str) -> DataFrame:
     """A pixel for each customer of an image: the root of the largest order, and the day of the last as quality."""
-    o = read(spark, d, "orders").where("o_orderdate >= '1995-01-01' AND o_orderdate < '1996-01-01'")
+    o = read(spark, d, "orders")
     k = F.col("o_custkey")
-    g = o.groupBy((F.month("o_orderdate") * 7 + k % 7).cast("int").alias("image_id"), k.alias("k")).agg(F.sqrt(F.max("o_totalprice") / 7).alias("total"), F.max(F.dayofmonth("o_orderdate")).cast("double").alias("quality"))
+    g = o.groupBy((_MONTH * 7 + k % 7).cast("int").alias("image_id"), k.alias("k")).agg(F.sqrt(F.max("o_totalprice") / 7).alias("total"), F.max(F.dayofmonth("o_orderdate")).cast("double").alias("quality"))
     x, y = F.col("k") % 97 / 9.7, F.col("k") % 49 / 9.8
     return g.select("image_id", x.alias("x"), y.alias("y"), F.explode(F.array(F.struct(F.lit("total").alias("b"), F.col("total").alias("v")), F.struct(F.lit("quality").alias("b"), F.col("quality").alias("v")))).alias("p")).select("image_id", F.col("p.b").alias("band_name"), "x", "y", F.col("p.v").alias("value"))
 
 
-_I_SQL = """WITH o AS (SELECT month(o_orderdate) * 7 + o_custkey % 7 AS id, o_custkey AS k, min(month(o_orderdate)) AS m, sqrt(max(o_totalprice) / 7) AS total, CAST(max(day(o_orderdate)) AS DOUBLE) AS quality
-  FROM orders WHERE o_orderdate >= '1995-01-01' AND o_orderdate < '1996-01-01' GROUP BY 1, 2),
-r AS (SELECT (m - 1) // 3 AS it, id, CAST(floor((k % 97) / 9.7) AS BIGINT) AS ix, CAST(floor(5 - (k % 49) / 9.8) AS BIGINT) AS iy, total, quality, k FROM o),
+_I_MONTH = "(year(o_orderdate) - 1995) * 12 + month(o_orderdate)"
+_I_SQL = f"""WITH o AS (SELECT ({_I_MONTH}) * 7 + o_custkey % 7 AS id, o_custkey AS k, min({_I_MONTH}) AS m, sqrt(max(o_totalprice) / 7) AS total, CAST(max(day(o_orderdate)) AS DOUBLE) AS quality
+  FROM orders GROUP BY 1, 2),
+p AS (SELECT (m - 1) // 3 AS it, id, (k % 97) / 9.7 AS px, (k % 49) / 9.8 AS py, 5 - (k % 49) / 9.8 AS fy, total, quality, k FROM o),
+r AS (SELECT it, id, px, py, CAST(floor(px) AS BIGINT) AS ix, CAST(floor(fy) AS BIGINT) AS iy, pow(px - 0.5 - floor(px), 2) + pow(fy - 0.5 - floor(fy), 2) AS d, total, quality, k FROM p),
 v AS (SELECT it, iy, ix, id, avg(total) AS total FROM r WHERE iy BETWEEN 0 AND 4 AND ix BETWEEN 0 AND 9 GROUP BY ALL)
 """
 _COMPOSE = {"first": "arg_min(total, id)", "last": "arg_max(total, id)", "min": "min(total)", "max": "max(total)", "mean": "avg(total)", "median": "median(total)", "count_values": "count(total)", "count_images": "count(DISTINCT id)", "none": "arg_max(total, id)"}
@@ -284,18 +288,34 @@ for _m, _f in {"max": "max(total)", "min": "min(total)", "med": "median(total)",
         f"resample_{_m}", lambda s, d, m=_m: shown(raster_cube(_catalogue(s, d), _pixels(s, d), View(I_GRID, "mean", m), bands=["total"])),
         _sql(_I_SQL.replace("avg(total)", _f), "it;iy;ix", {"total": "avg(total)"}, "FROM v GROUP BY it, iy, ix"),
     )
-for _m in ("near", "bilinear", "cubic", "cubicspline", "lanczos", "mode"):
+_NEAR = "arg_min({0}, {{'d': d, 'px': px, 'py': py, 'v': {0}}})"
+for _m in ("bilinear", "cubic", "cubicspline", "lanczos"):
     _add(f"resample_{_m}", lambda s, d, m=_m: shown(raster_cube(_catalogue(s, d), _pixels(s, d), View(I_GRID, "mean", m), bands=["total"])))
-_add("image_mask", lambda s, d: shown(raster_cube(_catalogue(s, d), _pixels(s, d), View(I_GRID, "max", "average"), mask={"band": "quality", "min": 10, "max": 20})))
+_add(
+    "resample_near", lambda s, d: shown(raster_cube(_catalogue(s, d), _pixels(s, d), View(I_GRID, "mean", "near"), bands=["total"])),
+    _sql(_I_SQL.replace("avg(total)", _NEAR.format("total")), "it;iy;ix", {"total": "avg(total)"}, "FROM v GROUP BY it, iy, ix"),
+)
+_add(
+    "resample_mode", lambda s, d: shown(raster_cube(_catalogue(s, d), _pixels(s, d), View(I_GRID, "mean", "mode"), bands=["quality"])),
+    _sql(
+        _I_SQL + ", n AS (SELECT it, iy, ix, id, quality, count(*) AS n FROM r WHERE iy BETWEEN 0 AND 4 AND ix BETWEEN 0 AND 9 GROUP BY ALL), "
+        "w AS (SELECT it, iy, ix, id, arg_min(quality, {'n': -n, 'v': quality}) AS quality FROM n GROUP BY ALL) ",
+        "it;iy;ix", {"quality": "avg(quality)"}, "FROM w GROUP BY it, iy, ix",
+    ),
+)
+_add(
+    "image_mask", lambda s, d: shown(raster_cube(_catalogue(s, d), _pixels(s, d), View(I_GRID, "max", "average"), mask={"band": "quality", "min": 10, "max": 20})),
+    _sql(_I_SQL.replace("avg(total)", f"avg(total) AS total, {_NEAR.format('quality')} AS quality").replace("AS quality AS total", "AS quality"), "it;iy;ix", {"total": "max(CASE WHEN quality BETWEEN 10 AND 20 THEN NULL ELSE total END)"}, "FROM v GROUP BY it, iy, ix"),
+)
 _add(
     "collection_range_query", lambda s, d: _catalogue(s, d).range_query(0, 4, 0, 4, "1995-03-01", "1995-05", ["total"]).selectExpr("CAST(image_id AS BIGINT) AS image_id", "descriptor", "datetime"),
-    "SELECT DISTINCT month(o_orderdate) * 7 + o_custkey % 7 AS image_id, 'image' || (month(o_orderdate) * 7 + o_custkey % 7) AS descriptor, strftime(date_trunc('month', o_orderdate), '%Y-%m-%dT%H:%M:%S') AS datetime FROM orders WHERE o_orderdate >= '1995-03-01' AND o_orderdate < '1995-06-01'",
+    f"SELECT DISTINCT ({_I_MONTH}) * 7 + o_custkey % 7 AS image_id, 'image' || (({_I_MONTH}) * 7 + o_custkey % 7) AS descriptor, strftime(date_trunc('month', o_orderdate), '%Y-%m-%dT%H:%M:%S') AS datetime FROM orders WHERE o_orderdate >= '1995-03-01' AND o_orderdate < '1995-06-01'",
 )
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
     path = F.format_string("/data/scene%03d_%s_%s.tif", F.col("c"), F.date_format("o_orderdate", "yyyyMMdd"), F.col("b"))
-    o = read(spark, d, "orders").where("o_orderdate >= '1995-01-01' AND o_orderdate < '1995-02-01'").select((F.col("o_custkey") % 200).alias("c"), "o_orderdate", F.explode(F.array(F.lit("red"), F.lit("nir"), F.lit("txt"))).alias("b"))
+    o = read(spark, d, "orders").select((F.col("o_custkey") % 200).alias("c"), "o_orderdate", F.explode(F.array(F.lit("red"), F.lit("nir"), F.lit("txt"))).alias("b"))
     return o.select(path.alias("path")).distinct()
 
 
@@ -308,7 +328,7 @@ def _format_query(spark: SparkSession, d: str) -> DataFrame:
     return c.images.join(c.gdalrefs, F.col("id") == F.col("image_id")).groupBy("name", "datetime").agg(F.count_distinct("band_id").alias("bands"), F.max("descriptor").alias("descriptor"))
 
 
-_add("collection_format", _format_query, f"SELECT DISTINCT {_NAME} AS name, strftime(date_trunc('day', o_orderdate), '%Y-%m-%dT%H:%M:%S') AS datetime, CAST(2 AS BIGINT) AS bands, '/data/' || {_NAME} || '_red.tif' AS descriptor FROM orders WHERE o_orderdate >= '1995-01-01' AND o_orderdate < '1995-02-01'")
+_add("collection_format", _format_query, f"SELECT DISTINCT {_NAME} AS name, strftime(date_trunc('day', o_orderdate), '%Y-%m-%dT%H:%M:%S') AS datetime, CAST(2 AS BIGINT) AS bands, '/data/' || {_NAME} || '_red.tif' AS descriptor FROM orders")
 
 
 def _stac(spark: SparkSession, d: str) -> DataFrame:
