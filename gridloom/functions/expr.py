@@ -38,6 +38,11 @@ FUNCTIONS: dict[str, tuple[int, Callable[..., Column]]] = {
 CONSTANTS = {"pi": math.pi, "e": math.e}
 
 
+def _bits(name: str) -> Callable[[Column, Column], Column]:
+    """A bit operator over whole numbers; of truth values it gives what the logical one gives."""
+    return lambda a, b: getattr(a.cast("long"), name)(b.cast("long")).cast("double")
+
+
 class Parser:
     """One expression; names maps what it may refer to, in small letters, to columns."""
 
@@ -57,7 +62,8 @@ class Parser:
         out = self._or()
         if self.at < len(self.tokens):
             raise ValueError(f"unexpected {self.tokens[self.at][1]!r} in {self.text!r}")
-        return F.when(~F.isnan(out), out)
+        # neither NaN nor what is too large for a double is a value
+        return F.when(F.abs(out) < F.lit(math.inf), out)
 
     def _take(self, *marks: str) -> str | None:
         if self.at < len(self.tokens) and self.tokens[self.at][0] == "mark" and self.tokens[self.at][1] in marks:
@@ -72,12 +78,10 @@ class Parser:
         return out
 
     def _or(self) -> Column:
-        both = lambda a, b: _number(_true(a) | _true(b))
-        return self._left(self._and, {"||": both, "|": both})
+        return self._left(self._and, {"||": lambda a, b: _number(_true(a) | _true(b)), "|": _bits("bitwiseOR")})
 
     def _and(self) -> Column:
-        both = lambda a, b: _number(_true(a) & _true(b))
-        return self._left(self._equal, {"&&": both, "&": both})
+        return self._left(self._equal, {"&&": lambda a, b: _number(_true(a) & _true(b)), "&": _bits("bitwiseAND")})
 
     def _equal(self) -> Column:
         return self._left(self._order, {"==": lambda a, b: _number(a == b), "=": lambda a, b: _number(a == b), "!=": lambda a, b: _number(a != b)})

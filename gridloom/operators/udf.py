@@ -40,7 +40,7 @@ def apply_pixel(cube: Cube, fun: Callable[[dict[str, float]], Sequence[float]],
             yield pd.concat([pdf[["it", "iy", "ix", *kept]].reset_index(drop=True), pd.DataFrame(got, columns=own)], axis=1)
 
     out = [*kept, *own]
-    return Cube.make(cube.df.mapInPandas(run, cell_schema(out)), cube.grid, out, {"cube_type": "apply_pixel_function", "band_names": own}, cube)
+    return Cube.make(cube.df.mapInPandas(run, cell_schema(out)), cube.grid, out, {"cube_type": "apply_pixel_function", "band_names": own, "keep_bands": keep_bands}, cube)
 
 
 def _matrix(pdf: pd.DataFrame, bands: Sequence[str], place: np.ndarray, size: int) -> np.ndarray:
@@ -89,7 +89,7 @@ def apply_time(cube: Cube, fun: Callable[[np.ndarray], np.ndarray], names=None,
         return pd.DataFrame(out | {b: series[bands.index(b)] for b in kept} | dict(zip(own, got, strict=True)))
 
     out = [*kept, *own]
-    return Cube.make(cube.df.groupBy("iy", "ix").applyInPandas(run, cell_schema(out)), cube.grid, out, {"cube_type": "apply_time_function", "names": own}, cube)
+    return Cube.make(cube.df.groupBy("iy", "ix").applyInPandas(run, cell_schema(out)), cube.grid, out, {"cube_type": "apply_time_function", "names": own, "keep_bands": keep_bands}, cube)
 
 
 def chunk_apply(cube: Cube, fun: Callable[[np.ndarray], np.ndarray], names: Sequence[str], chunk: tuple[int, int, int] = (1, 256, 256)) -> Cube:
@@ -108,7 +108,7 @@ def chunk_apply(cube: Cube, fun: Callable[[np.ndarray], np.ndarray], names: Sequ
         return pd.DataFrame({"it": t + t0, "iy": y + y0, "ix": x + x0, **dict(zip(own, got.reshape(len(own), -1), strict=True))})
 
     groups = [F.floor(F.col(d) / n).alias(f"_{d}") for d, n in (("it", ct), ("iy", cy), ("ix", cx))]
-    return Cube.make(cube.df.groupBy(*groups).applyInPandas(run, cell_schema(own)), g, own, {"cube_type": "chunk_apply", "names": own}, cube)
+    return Cube.make(cube.df.groupBy(*groups).applyInPandas(run, cell_schema(own)), g, own, {"cube_type": "chunk_apply", "names": own, "chunk": list(chunk)}, cube)
 
 
 def predict(cube: Cube, model, names: Sequence[str] = ("prediction",), keep_bands: bool = False) -> Cube:
@@ -131,7 +131,7 @@ def predict(cube: Cube, model, names: Sequence[str] = ("prediction",), keep_band
             yield out
 
     out = [*kept, *own]
-    return Cube.make(cube.df.mapInPandas(run, cell_schema(out)), cube.grid, out, {"cube_type": "predict", "names": own}, cube)
+    return Cube.make(cube.df.mapInPandas(run, cell_schema(out)), cube.grid, out, {"cube_type": "predict", "names": own, "keep_bands": keep_bands}, cube)
 
 
 # ---------------------------------------------------------------- arrays in memory

@@ -154,7 +154,8 @@ def window_space(
     # count, sum and prod have a value in windows that hold no cell at all
     empty = {o: {"count": 0.0, "sum": 0.0, "prod": 1.0}[n] for n, _, o in parsed if n in ("count", "sum", "prod")}
     if empty:
-        got = every_cell(cube.spark, g).join(got, ["it", "iy", "ix"], "left").fillna(empty)
+        got = every_cell(cube.spark, g).join(got, ["it", "iy", "ix"], "left")
+        got = got.select("it", "iy", "ix", *[F.coalesce(F.col(f"`{o}`"), F.lit(empty[o])).alias(o) if o in empty else F.col(f"`{o}`") for *_, o in parsed])
     if keep_bands:
         got = got.join(cube.df, ["it", "iy", "ix"], "full_outer")
         names = [*cube.bands, *names]

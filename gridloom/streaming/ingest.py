@@ -16,13 +16,14 @@ from ..timeaxis import SECONDS
 
 def windowed_cells(events: DataFrame, grid: Grid, time: str, x: str, y: str, bands: Mapping[str, tuple[str, str]], late: str = "1 day") -> DataFrame:
     """Cells of a stream of points: event-time windows as long as the grid's steps, and its rows and columns. Rows that
-    come later than `late` after the newest are left out."""
+    come later than `late` after the newest are left out, and so are rows before or after the grid's steps."""
     g = grid
     if g.unit not in SECONDS:
         raise ValueError("a window has a fixed length: steps of weeks at most")
     start = f"{g.t0.epoch() % (g.dt.n * SECONDS[g.unit])} seconds"
     own = events.withColumn("_ts", F.col(time).cast("timestamp")).withWatermark("_ts", late)
-    cells = own.select(
+    seconds = F.col("_ts").cast("double")
+    cells = own.where((seconds >= g.t0.epoch()) & (seconds < g.time(g.nt).epoch())).select(
         F.window("_ts", f"{g.dt.n * SECONDS[g.unit]} seconds", startTime=start).alias("w"), F.floor((g.top - F.col(y)) / g.dy).cast("int").alias("iy"),
         F.floor((F.col(x) - g.left) / g.dx).cast("int").alias("ix"), *[clean(F.col(c)).alias(f"_{b}") for b, (_, c) in bands.items()],
     )

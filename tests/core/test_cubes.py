@@ -198,3 +198,37 @@ def test_partitioning_does_not_matter(spark):
         assert one == {tuple(r) for r in c.window_space("mean(b1)", window=(3, 3)).reduce_time("count(b1_mean)").df.collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_user_functions_come_back_with_their_settings(spark):
+    c = from_array(spark, sample())
+    plus, twice, whole = (lambda v: [v["b1"] + 1]), (lambda m: m * 2), (lambda b: b + 1)
+    cubes = [
+        (c.apply_pixel(plus, ["p"], keep_bands=True), plus), (c.apply_time(twice, ["p"], keep_bands=True), twice), (c.chunk_apply(whole, ["p"], (2, 3, 3)), whole),
+        (c.predict(lambda x: x["b1"] * 3, ["p"], keep_bands=True), lambda x: x["b1"] * 3), (c.reduce_time(fun=lambda m: [np.nansum(m)], names=["s"]), lambda m: [np.nansum(m)]),
+        (c.reduce_space(fun=lambda m: [np.nansum(m)], names=["s"]), lambda m: [np.nansum(m)]),
+    ]
+    for cube, f in cubes:
+        again = codec.from_json(spark, codec.to_json(cube), {"given": lambda node: c}, {cube.plan["cube_type"]: f})
+        assert again.bands == cube.bands and again.plan == cube.plan
+        assert np.allclose(files.as_array(again), files.as_array(cube), equal_nan=True)
+
+
+def test_operators_take_the_names_that_a_join_gives(spark):
+    x, y = sample(seed=2), sample(seed=3)
+    c = join.join_bands([from_array(spark, x), from_array(spark, y)])
+    assert c.bands == ("X1.b1", "X2.b1")
+    got = files.as_array(c.window_space("sum(X1.b1)", "max(X2.b1)", window=(1, 1)))
+    assert np.allclose(got[0], np.nan_to_num(x[0])) and np.allclose(got[1], y[0], equal_nan=True)
+    kept = c.window_space("count(X1.b1)", window=(1, 1), keep_bands=True)
+    assert kept.bands == ("X1.b1", "X2.b1", "X1.b1_count")
+    assert np.allclose(files.as_array(kept)[2], ~np.isnan(x[0]))
+    for made in (c.fill_time("locf"), c.window_time("mean(X1.b1)", window=(1, 1)), c.reduce_time("mean(X2.b1)"), c.reduce_space("max(X1.b1)"), c.aggregate_time("P2D", "mean"), c.aggregate_space(fact=2, method="max"), c.crop(iextent={"x": (0, 1)})):
+        assert made.df.count() > 0
+
+
+def test_expressions_with_bits_and_overflow(spark):
+    c = dummy_cube(spark, grid(1, 1, t1="2021-01-31"), 1, 6.0)
+    text = {"a": "band1 & 3", "o": "band1 | 3", "t": "(band1 > 5) & (band1 < 7)", "big": "exp(1000)", "low": "-exp(1000)", "nan": "sqrt(-1)", "zero": "band1 / 0", "same": "exp(0)"}
+    row = c.apply_pixel(list(text.values()), list(text)).df.first().asDict()
+    assert {k: row[k] for k in text} == {"a": 2.0, "o": 7.0, "t": 1.0, "big": None, "low": None, "nan": None, "zero": None, "same": 1.0}
