@@ -119,9 +119,18 @@ class Cube:
         return every_cell(self.spark, self.grid).join(self.df, list(DIMS), "left")
 
     def dense_in_time(self) -> DataFrame:
-        """A row for every step of each pixel that has a row at all."""
-        pixels = self.df.select("iy", "ix").distinct().withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(self.grid.nt - 1))))
-        return pixels.join(self.df, list(DIMS), "left")
+        """A row for every step of each pixel that has a row at all: a pixel's rows are gathered once, and the steps that
+        are not among them added. Windows over (iy, ix) find the rows where they are. A pixel has as many rows as there
+        are steps, at most."""
+        bands = [self.band(b) for b in self.bands]
+        own = self.df.groupBy("iy", "ix").agg(F.collect_list(F.struct(F.col("it").cast("int").alias("it"), *bands)).alias("_rows"))
+        missing = F.array_except(F.sequence(F.lit(0), F.lit(self.grid.nt - 1)), F.col("_rows.it"))
+        empty = F.transform(missing, lambda t: F.struct(t.alias("it"), *[F.lit(None).cast(kind).alias(b) for b, kind in self._kinds()]))
+        return own.select("iy", "ix", F.inline(F.concat("_rows", empty))).select(*DIMS, *bands)
+
+    def _kinds(self) -> list[tuple[str, str]]:
+        kinds = dict(self.df.dtypes)
+        return [(b, kinds[b]) for b in self.bands]
 
     # ------------------------------------------------------------ operators
 

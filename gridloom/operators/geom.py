@@ -21,8 +21,13 @@ from ..grid import Grid
 Ring = Sequence[tuple[float, float]]
 
 
-def polygon_cells(grid: Grid, rings: Sequence[Ring]) -> list[tuple[int, int]]:
-    """(iy, ix) of the cells whose centres lie inside: crossings of each row's centre line, taken in pairs."""
+#: Spans of a mask, 12 bytes each, up to which they are broadcast.
+BROADCAST_SPANS = 1_000_000
+
+
+def polygon_spans(grid: Grid, rings: Sequence[Ring]) -> list[tuple[int, int, int]]:
+    """(iy, first ix, last ix) of the runs of cells whose centres lie inside: crossings of each row's centre line, taken
+    in pairs."""
     out = []
     ys = [p[1] for r in rings for p in r]
     low = max(0, int((grid.top - max(ys)) / grid.dy) - 1)
@@ -37,10 +42,20 @@ def polygon_cells(grid: Grid, rings: Sequence[Ring]) -> list[tuple[int, int]]:
         for a, b in zip(cuts[::2], cuts[1::2], strict=True):
             first = max(0, int(-((grid.left + 0.5 * grid.dx - a) // grid.dx)))
             last = min(grid.nx - 1, int((b - grid.left - 0.5 * grid.dx) // grid.dx))
-            out += [(iy, ix) for ix in range(first, last + 1) if a <= grid.x(ix) < b]
+            # the ends of a run are decided by centres, as quotients are rounded
+            while first <= last and not a <= grid.x(first) < b:
+                first += 1
+            while first <= last and not a <= grid.x(last) < b:
+                last -= 1
+            if first <= last:
+                out.append((iy, first, last))
     return out
 
 
+def polygon_cells(grid: Grid, rings: Sequence[Ring]) -> list[tuple[int, int]]:
+    return [(iy, ix) for iy, first, last in polygon_spans(grid, rings) for ix in range(first, last + 1)]
+
+
 def line_cells(grid: Grid, line: Ring) -> list[tuple[int, int]]:
     """Cells that a line passes through, by the borders that each of its segments crosses."""
     out: dict[tuple[int, int], None] = {}
@@ -85,17 +100,14 @@ def filter_geom(cube: Cube, rings: Sequence[Ring], srs: str | None = None) -> Cu
     own = [[transform(srs or g.srs, g.srs, x, y) for x, y in r] for r in rings]
     if any(not (g.left <= x <= g.right and g.bottom <= y <= g.top) for r in own for x, y in r):
         raise ValueError("the polygon is not within the cube")
-    # the rows of a polygon are runs of cells: one range predicate for each, and no join
-    spans: dict[int, list[list[int]]] = {}
-    for iy, ix in polygon_cells(g, own):
-        row = spans.setdefault(iy, [])
-        if row and row[-1][1] == ix - 1:
-            row[-1][1] = ix
-        else:
-            row.append([ix, ix])
-    rows = [(iy, a, b) for iy, own_row in spans.items() for a, b in own_row]
-    mask = cube.spark.createDataFrame(rows, "iy int, a int, b int").select("iy", F.explode(F.sequence("a", "b")).alias("ix")) if rows else None
-    df = cube.df.join(mask, ["iy", "ix"], "left_semi") if rows else cube.df.where(F.lit(False))
+    # a row of a polygon is a few runs of cells, whatever its width
+    spans = polygon_spans(g, own)
+    if spans:
+        mask = cube.spark.createDataFrame(spans, "_iy int, _a int, _b int")
+        mask = F.broadcast(mask) if len(spans) <= BROADCAST_SPANS else mask
+        df = cube.df.join(mask, (F.col("iy") == F.col("_iy")) & F.col("ix").between(F.col("_a"), F.col("_b")), "left_semi")
+    else:
+        df = cube.df.where(F.lit(False))
     return Cube.make(df, g, cube.bands, {"cube_type": "filter_geom", "rings": [[list(p) for p in r] for r in rings], "srs": srs or g.srs}, cube)
 
 

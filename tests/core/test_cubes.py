@@ -232,3 +232,15 @@ def test_expressions_with_bits_and_overflow(spark):
     text = {"a": "band1 & 3", "o": "band1 | 3", "t": "(band1 > 5) & (band1 < 7)", "big": "exp(1000)", "low": "-exp(1000)", "nan": "sqrt(-1)", "zero": "band1 / 0", "same": "exp(0)"}
     row = c.apply_pixel(list(text.values()), list(text)).df.first().asDict()
     assert {k: row[k] for k in text} == {"a": 2.0, "o": 7.0, "t": 1.0, "big": None, "low": None, "nan": None, "zero": None, "same": 1.0}
+
+
+def test_series_and_masks_take_one_pass(spark):
+    c = from_array(spark, sample())
+    plan = lambda x: x.df._jdf.queryExecution().executedPlan().toString()
+    for made in (c.fill_time("linear"), c.window_time("mean(b1)", window=(1, 1))):
+        assert plan(made).count("Exchange") == 1 and "Join" not in plan(made)
+    inside = c.filter_geom([[(0.2, 0.2), (3.7, 0.2), (3.7, 4.4), (0.2, 4.4)], [(1, 1), (2, 1), (2, 2), (1, 2)]])
+    assert "BroadcastHashJoin" in plan(inside) and "SortMergeJoin" not in plan(inside)
+    want = sample()
+    want[:, :, 3, 1] = np.nan
+    assert np.allclose(files.as_array(inside), want, equal_nan=True)
