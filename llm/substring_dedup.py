@@ -132,9 +132,10 @@ class Graph:
         # rows without an id can't be the smaller document of another
         known = self.docs.where(F.col("doc_id").isNotNull())
         all_ = saved(map_text(known, run, "doc_id long, row long, pos int, node long, edge long, next long"))
-        nodes = all_.groupBy("node").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("node", F.col("a").alias("least_of_node"))
+        # written first, so that Spark can split the rows of a common node where they meet it
+        nodes = saved(all_.groupBy("node").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("node", F.col("a").alias("least_of_node")))
         rows = saved(all_.join(nodes, "node"))
-        discard(all_)
+        discard(all_, nodes)
         return rows
 
     def compacted(self, rows: DataFrame) -> DataFrame:
