@@ -248,14 +248,17 @@ _add(
 # ---------------------------------------------------------------- images
 
 I_GRID = Grid.of({"left": 0, "right": 10, "bottom": 0, "top": 5, "t0": "1995-01", "t1": "2001-12"}, dx=1, dy=1, dt="P3M")
-#: Months from 1995 on, 1 for its January.
-_MONTH = (F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate")
+
+
+def _month() -> Column:
+    """Months from 1995 on, 1 for its January."""
+    return (F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate")
 
 
 def _catalogue(spark: SparkSession, d: str) -> Collection:
     """Orders by month and customer modulo 7 as images."""
     o = read(spark, d, "orders")
-    images = o.groupBy((_MONTH * 7 + F.col("o_custkey") % 7).cast("int").alias("id")).agg(F.date_format(F.date_trunc("month", F.min("o_orderdate")), "yyyy-MM-dd'T'HH:mm:ss").alias("datetime"))
+    images = o.groupBy((_month() * 7 + F.col("o_custkey") % 7).cast("int").alias("id")).agg(F.date_format(F.date_trunc("month", F.min("o_orderdate")), "yyyy-MM-dd'T'HH:mm:ss").alias("datetime"))
     images = images.selectExpr("id", "concat('image', id) AS name", "0D AS left", "5D AS top", "0D AS bottom", "10D AS right", "datetime", "'EPSG:4326' AS proj")
     refs = images.selectExpr("id AS image_id", "1 AS band_id", "name AS descriptor", "1 AS band_num").union(images.selectExpr("id", "2", "name", "2"))
     return Collection.of(spark, images=images, gdalrefs=refs, bands=[(1, "total", "float64", 0.0, 1.0, "", "-1"), (2, "quality", "uint8", 0.0, 1.0, "", "")])
@@ -265,7 +268,7 @@ def _pixels(spark: SparkSession, d: str) -> DataFrame:
     """A pixel for each customer of an image: the root of the largest order, and the day of the last as quality."""
     o = read(spark, d, "orders")
     k = F.col("o_custkey")
-    g = o.groupBy((_MONTH * 7 + k % 7).cast("int").alias("image_id"), k.alias("k")).agg(F.sqrt(F.max("o_totalprice") / 7).alias("total"), F.max(F.dayofmonth("o_orderdate")).cast("double").alias("quality"))
+    g = o.groupBy((_month() * 7 + k % 7).cast("int").alias("image_id"), k.alias("k")).agg(F.sqrt(F.max("o_totalprice") / 7).alias("total"), F.max(F.dayofmonth("o_orderdate")).cast("double").alias("quality"))
     x, y = F.col("k") % 97 / 9.7, F.col("k") % 49 / 9.8
     return g.select("image_id", x.alias("x"), y.alias("y"), F.explode(F.array(F.struct(F.lit("total").alias("b"), F.col("total").alias("v")), F.struct(F.lit("quality").alias("b"), F.col("quality").alias("v")))).alias("p")).select("image_id", F.col("p.b").alias("band_name"), "x", "y", F.col("p.v").alias("value"))
 
