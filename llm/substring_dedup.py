@@ -150,7 +150,9 @@ class Graph:
     def known(self) -> DataFrame:
         """For each row with repeated anchors: their places and states, in order."""
         rows = self.occurrences()
-        found = rows.join(self.compacted(rows), "edge", "left")
+        # written first, so that Spark can split the rows of a common edge; last anchors, which begin none, meet nothing
+        edges = saved(self.compacted(rows))
+        found = rows.where("edge <> 0").join(edges, "edge", "left").unionByName(rows.where("edge = 0"), allowMissingColumns=True)
         state = F.when(F.col("least").isNull(), NONE).otherwise(F.when(F.col("least") < F.col("doc_id"), LATER).otherwise(FIRST) + F.when(F.col("chained"), CHAINED).otherwise(0))
         state = (state + F.when(F.col("least_of_node") < F.col("doc_id"), TARGET).otherwise(0)).cast("int")
         states = found.select("doc_id", "row", F.struct("pos", state.alias("state"), "node").alias("a"))
@@ -165,7 +167,7 @@ class Graph:
         nodes = saved(arrays.select("pos", "state", "node").mapInPandas(open_nodes, "node long").distinct())
         need = rows.join(nodes, "node").groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("pos")).alias("need"))
         known = saved(arrays.drop("node").join(need, ["doc_id", "row"], "left"))
-        discard(rows, arrays, nodes)
+        discard(rows, edges, arrays, nodes)
         return known
 
     def removals(self) -> DataFrame:
@@ -179,10 +181,10 @@ class Graph:
             return {"doc_id": piece.column("doc_id").take(take), "row": piece.column("row").take(take), "at": (at - x.first[x.doc[at]]).astype(np.int32), "words": x.hash(at, at + window).astype(np.int64)}
 
         open_ = saved(map_text(self.docs.join(known, ["doc_id", "row"]), run, "doc_id long, row long, at int, words long"))
-        least = open_.groupBy("words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+        least = saved(open_.groupBy("words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most"))
         gone = open_.join(least, "words").where("least < doc_id").groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("at")).alias("at"))
         out = saved(known.join(gone, ["doc_id", "row"], "left"))
-        discard(known, open_)
+        discard(known, open_, least)
         return out
 
 
