@@ -1,6 +1,7 @@
 """Plans as JSON: every operator notes its settings and the plans it works on; a cube is rebuilt from them.
 
-Sources that read tables need these given by name; user functions cannot be stored, and must be given again.
+Sources that read tables note where these are stored, if they are told; else a source must be given for them. User
+functions cannot be stored, and must be given again.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from ..cube import Cube
 from ..grid import Grid, View
 from ..operators import geom, join, pixel
 from ..sources import synthetic
+from ..sources.catalog import Collection
+from ..sources.images import raster_cube, stack_cube
+from ..sources.points import points_to_cube
 
 
 def to_json(cube: Cube) -> str:
@@ -57,14 +61,31 @@ def _file(spark: SparkSession, n: dict, c: list[Cube], f: Mapping) -> Cube:
     return read_cube(spark, n["path"])
 
 
-def _needs_table(spark: SparkSession, n: dict, c: list[Cube], f: Mapping) -> Cube:
-    raise ValueError(f"{n['cube_type']} reads tables; give a source for it")
+def _stored(n: dict, *keys: str) -> list:
+    if not all(k in n for k in keys):
+        raise ValueError(f"the plan of {n['cube_type']} does not say where its tables are; give a source for it")
+    return [n[k] for k in keys]
+
+
+def _points(spark: SparkSession, n: dict, c: list[Cube], f: Mapping) -> Cube:
+    path, time, x, y, columns = _stored(n, "path", "time", "x", "y", "columns")
+    return points_to_cube(spark.read.parquet(path), Grid.from_json(n["view"]), time, x, y, {b: (r, columns[b]) for b, r in n["bands"].items()}, n.get("srs"), path)
+
+
+def _images(spark: SparkSession, n: dict, c: list[Cube], f: Mapping) -> Cube:
+    file, pixels = _stored(n, "file", "pixels")
+    return raster_cube(Collection.open(spark, file), spark.read.parquet(pixels), View.from_json(n["view"]) if n.get("view") else None, n.get("bands"), n.get("mask"), {"file": file, "pixels": pixels})
+
+
+def _stack(spark: SparkSession, n: dict, c: list[Cube], f: Mapping) -> Cube:
+    (images,) = _stored(n, "images")
+    return stack_cube([(t, spark.read.parquet(p)) for t, p in images], Grid.from_json(n["view"]), n.get("bands"), [p for _, p in images])
 
 
 _NODES: dict[str, Callable[[SparkSession, dict, list[Cube], Mapping[str, Callable]], Cube]] = {
     "dummy": lambda s, n, c, f: synthetic.dummy_cube(s, Grid.from_json(n["view"]), n["nbands"], n["fill"]),
     "empty": lambda s, n, c, f: synthetic.empty_cube(s, Grid.from_json(n["view"]), n["nbands"]),
-    "file": _file, "points": _needs_table, "image_collection": _needs_table, "stack": _needs_table,
+    "file": _file, "points": _points, "image_collection": _images, "stack": _stack,
     "select_bands": lambda s, n, c, f: c[0].select_bands(*n["bands"]),
     "rename_bands": lambda s, n, c, f: c[0].rename_bands(**n["names"]),
     "apply_pixel": lambda s, n, c, f: c[0].apply_pixel(n["expr"], n["band_names"], n["keep_bands"]),

@@ -369,6 +369,14 @@ def _rebuilt(spark: SparkSession, d: str) -> DataFrame:
     return shown(codec.from_json(spark, codec.to_json(c), {"points": lambda node: cube_e(spark, d)}))
 
 
+def _from_plan(spark: SparkSession, d: str) -> DataFrame:
+    """A cube of events, made by its plan alone."""
+    path = f"{d}/events.parquet"
+    c = points_to_cube(read(spark, d, "events"), E_GRID, "ts", "user_id % 15 + 0.5", "23.5 - hour(ts)", {"value": ("mean", "value"), "n": ("count", "value")}, path=path)
+    return shown(codec.from_json(spark, codec.to_json(c.apply_pixel("value * n", "total").reduce_time("max(total)"))))
+
+
+_add("plan_alone", _from_plan, _sql(E_SQL, "0;iy;ix", {"total_max": "max(value * n)"}, "FROM c GROUP BY iy, ix"))
 _add("plan_rebuilt", _rebuilt, _sql(E_SQL, "0;iy;ix", {"value_max": "max(value)"}, "FROM (SELECT iy, ix, it // 7, sum(value) AS value FROM c WHERE value > 10 GROUP BY ALL) GROUP BY iy, ix"))
 
 

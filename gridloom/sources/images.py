@@ -65,8 +65,9 @@ def composite(method: str, v: Column, order: Column) -> Column:
     }[method]()
 
 
-def raster_cube(collection: Collection, pixels: DataFrame, view: View | None = None, bands: Sequence[str] | None = None, mask: Mapping | None = None) -> Cube:
-    """mask: band, and what image_mask takes; the mask band is resampled to the nearest."""
+def raster_cube(collection: Collection, pixels: DataFrame, view: View | None = None, bands: Sequence[str] | None = None, mask: Mapping | None = None, paths: Mapping[str, str] | None = None) -> Cube:
+    """mask: band, and what image_mask takes; the mask band is resampled to the nearest. With paths, where the catalogue
+    (file) and the pixels (pixels) are stored, the plan alone can make the cube again."""
     view = view or collection.default_view()
     g = view.grid
     corners = [transform(g.srs, "EPSG:4326", x, y) for x in (g.left, g.right) for y in (g.bottom, g.top)]
@@ -95,7 +96,7 @@ def raster_cube(collection: Collection, pixels: DataFrame, view: View | None = N
     if view.aggregation == "none":
         columns = [F.max(F.when(F.col("band_name") == b, F.struct(order.alias("o"), F.col("value").alias("v"))))["v"].alias(b) for b in names]
     df = cells.groupBy("it", "iy", "ix").agg(*columns)
-    return Cube.make(df, g, names, {"cube_type": "image_collection", "view": view.to_json(), "bands": names, "mask": dict(mask) if mask else None})
+    return Cube.make(df, g, names, {"cube_type": "image_collection", "view": view.to_json(), "bands": names, "mask": dict(mask) if mask else None, **(paths or {})})
 
 
 def project_pixels(pixels: DataFrame, collection: Collection, srs: str) -> DataFrame:
@@ -111,12 +112,13 @@ def project_pixels(pixels: DataFrame, collection: Collection, srs: str) -> DataF
     return both.withColumns(out).drop("proj")
 
 
-def stack_cube(images: Sequence[tuple[str, DataFrame]], grid: Grid, band_names: Sequence[str] | None = None) -> Cube:
+def stack_cube(images: Sequence[tuple[str, DataFrame]], grid: Grid, band_names: Sequence[str] | None = None, paths: Sequence[str] | None = None) -> Cube:
     """A cube at the images' own times: (datetime, DataFrame iy, ix and a column for each band), on one grid, in order
-    of time. Bands are x1, x2 and so on, if they have no names."""
+    of time. Bands are x1, x2 and so on, if they have no names. With paths, where the images are stored, the plan alone
+    can make the cube again."""
     parsed = sorted(((DateTime.parse(t), df) for t, df in images), key=lambda p: p[0].at)
     labels = list(dict.fromkeys(t.floor() for t, _ in parsed))
     first = [c for c in parsed[0][1].columns if c not in ("iy", "ix")]
     names = list(band_names) if band_names else [f"x{i + 1}" for i in range(len(first))]
     frames = [df.select(F.lit(labels.index(t.floor())).alias("it"), "iy", "ix", *[clean(F.col(f"`{c}`")).alias(n) for c, n in zip(first, names, strict=True)]) for t, df in parsed]
-    return Cube.make(reduce(DataFrame.unionByName, frames), replace(grid, labels=tuple(labels)), names, {"cube_type": "stack", "view": grid.to_json(), "bands": names})
+    return Cube.make(reduce(DataFrame.unionByName, frames), replace(grid, labels=tuple(labels)), names, {"cube_type": "stack", "view": grid.to_json(), "bands": names, **({"images": [[t, p] for (t, _), p in zip(images, paths, strict=True)]} if paths else {})})

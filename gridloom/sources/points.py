@@ -45,10 +45,15 @@ def clean(v: Column) -> Column:
 
 
 def points_to_cube(
-    table: DataFrame, grid: Grid, time: str | Column, x: str | Column, y: str | Column, bands: Mapping[str, tuple[str, str | Column]], srs: str | None = None,
+    table: DataFrame, grid: Grid, time: str | Column, x: str | Column, y: str | Column, bands: Mapping[str, tuple[str, str | Column]], srs: str | None = None, path: str | None = None,
 ) -> Cube:
-    """bands: for each name a reducer and a column. x and y are coordinates in srs (the grid's, if absent)."""
-    col = lambda c: F.col(c) if isinstance(c, str) else c
+    """bands: for each name a reducer and a column. x and y are coordinates in srs (the grid's, if absent). Texts are
+    names of columns or SQL expressions. With path, where the table is stored, the plan alone can make the cube again."""
+    own = set(table.columns)
+    col = lambda c: c if not isinstance(c, str) else F.col(f"`{c}`") if c in own else F.expr(c)
+    given = {"time": time, "x": x, "y": y, **{f"band {b}": c for b, (_, c) in bands.items()}}
+    if path is not None and not all(isinstance(c, str) for c in given.values()):
+        raise ValueError("a plan that names its table takes columns as text")
     g = grid
     px, py = transform_columns(srs or g.srs, g.srs, col(x).cast("double"), col(y).cast("double"))
     rows = table.where(in_range(col(time), g)).select(
@@ -57,4 +62,7 @@ def points_to_cube(
     )
     rows = rows.where(F.col("iy").between(0, g.ny - 1) & F.col("ix").between(0, g.nx - 1) & F.col("it").between(0, g.nt - 1))
     df = rows.groupBy("it", "iy", "ix").agg(*[R.plain(r, F.col(f"_{b}")).alias(b) for b, (r, _) in bands.items()])
-    return Cube.make(df, g, list(bands), {"cube_type": "points", "view": g.to_json(), "bands": {b: r for b, (r, _) in bands.items()}})
+    plan = {"cube_type": "points", "view": g.to_json(), "bands": {b: r for b, (r, _) in bands.items()}}
+    if path is not None:
+        plan |= {"path": path, "time": time, "x": x, "y": y, "columns": {b: c for b, (_, c) in bands.items()}, "srs": srs}
+    return Cube.make(df, g, list(bands), plan)

@@ -4,9 +4,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom import Grid, View
+from gridloom import cli
 from gridloom.operators import geom
+from gridloom.plans import codec
+from gridloom.sinks import files
 from gridloom.sources.catalog import FORMATS, Collection, collection_formats, collection_from_lists, create_collection, stac_collection
-from gridloom.sources.images import raster_cube
+from gridloom.sources.images import raster_cube, stack_cube
 from gridloom.sources.points import points_to_cube
 from gridloom.streaming.ingest import append_files, windowed_cells
 
@@ -127,3 +130,32 @@ def test_streams(spark, tmp_path):
     seen = []
     append_files(stream, lambda df: seen.append(df.count()), str(tmp_path / "check")).awaitTermination(120)
     assert seen == [3]
+
+
+def test_plans_that_name_their_tables_run_alone(spark, tmp_path):
+    at = {k: str(tmp_path / k) for k in ("points", "file", "pixels", "one", "two", "out")}
+    table = spark.createDataFrame([("2021-01-01 05:00:00", 0.5, 0.5, 2.0), ("2021-01-03 05:00:00", 0.5, 0.5, 4.0)], "t string, x double, y double, v double").withColumn("t", F.col("t").cast("timestamp_ntz"))
+    table.write.parquet(at["points"])
+    images(spark).save(at["file"])
+    pixels(spark).write.parquet(at["pixels"])
+    for name, value in (("one", 1.0), ("two", 2.0)):
+        spark.createDataFrame([(0, 1, value)], "iy int, ix int, v double").write.parquet(at[name])
+    read = spark.read.parquet
+    cubes = [
+        points_to_cube(read(at["points"]), G, "t", "x", "y + 1", {"m": ("mean", "v * 2")}, path=at["points"]),
+        raster_cube(Collection.open(spark, at["file"]), read(at["pixels"]), View(G, "max", "average"), ["v"], {"band": "q", "values": [2]}, {"file": at["file"], "pixels": at["pixels"]}),
+        stack_cube([("2021-01-03", read(at["two"])), ("2021-01-01", read(at["one"]))], G, paths=[at["two"], at["one"]]),
+    ]
+    rows = lambda c: sorted(map(tuple, c.df.collect()), key=str)
+    for cube in cubes:
+        again = codec.from_json(spark, codec.to_json(cube))
+        assert again.plan == cube.plan and again.grid == cube.grid and rows(again) == rows(cube) != []
+    for bare in (points_to_cube(table, G, "t", "x", "y", {"m": ("mean", "v")}), raster_cube(images(spark), pixels(spark), View(G)), stack_cube([("2021-01-01", read(at["one"]))], G)):
+        with pytest.raises(ValueError, match="give a source"):
+            codec.from_json(spark, codec.to_json(bare))
+    with pytest.raises(ValueError, match="columns as text"):
+        points_to_cube(table, G, "t", F.col("x"), "y", {"m": ("mean", "v")}, path=at["points"])
+    plan = tmp_path / "plan.json"
+    plan.write_text(codec.to_json(cubes[1].reduce_time("max(v)")))
+    assert cli.main(["exec", str(plan), at["out"]]) == 0
+    assert rows(files.read_cube(spark, at["out"])) == rows(cubes[1].reduce_time("max(v)"))
