@@ -30,6 +30,8 @@ from .pretokens import Remembering
 
 CAPACITY = 1024
 END = 2
+#: Numbers of lengths in tasks, three integers each, that are broadcast.
+BROADCAST_ROWS = 1 << 18
 
 
 # ---------------------------------------------------------------- the plan
@@ -206,7 +208,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def pack(cut_pieces: DataFrame, capacity: int = CAPACITY, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Adds sequence_id and offset to pieces (length from 1 to capacity, block and local as pieces() gives them)."""
     rows = saved(cut_pieces)
     per_block = rows.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n"))
@@ -214,7 +216,10 @@ def pack(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     firsts = saved(per_block.withColumn("first", F.coalesce(before, F.lit(0))))
     counts = {int(r["length"]): int(r["n"]) for r in firsts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = make_plan(counts, capacity)
-    ranked = rows.join(firsts.select("length", "block", "first"), ["length", "block"]).withColumn("rank", F.col("first") + F.col("local"))
+    # numbers grow with tasks: beyond the bound pieces are dealt out by length and task, of which none has many
+    known = firsts.select("length", "block", "first")
+    known = F.broadcast(known) if firsts.count() <= broadcast_rows else known.hint("merge")
+    ranked = rows.join(known, ["length", "block"]).withColumn("rank", F.col("first") + F.col("local"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length: pd.Series, rank: pd.Series) -> pd.DataFrame:

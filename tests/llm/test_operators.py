@@ -82,6 +82,14 @@ def test_packing(spark, sf):
     assert out["sequence_id"].nunique() <= -(-out["length"].sum() // 1024) + 2
 
 
+def test_packing_without_broadcast(spark, sf):
+    cut = packing.saved(packing.pieces(frame(spark, texts(spark, sf)[:40] + EDGES).repartition(3), public_tokenizers.path("byte_bpe_50k.json")))
+    small, large = packing.pack(cut), packing.pack(cut, broadcast_rows=0)
+    plan = lambda x: x._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(small) and "SortMergeJoin" in plan(large) and "Broadcast" not in plan(large)
+    assert got(small) == got(large)
+
+
 def test_plans_of_bins():
     r = random.Random(1)
     for _ in range(20):
