@@ -144,11 +144,11 @@ class Cube:
 
         return pixel.rename_bands(self, names)
 
-    def apply_pixel(self, expressions, names=None, keep_bands: bool = False) -> Cube:
+    def apply_pixel(self, expressions, names=None, keep_bands: bool = False, by_batch: bool = False) -> Cube:
         from .operators import pixel, udf
 
         if callable(expressions):
-            return udf.apply_pixel(self, expressions, names, keep_bands)
+            return udf.apply_pixel(self, expressions, names, keep_bands, by_batch)
         return pixel.apply_pixel(self, expressions, names, keep_bands)
 
     def filter_pixel(self, predicate: str) -> Cube:

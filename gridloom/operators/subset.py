@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 import warnings
 from collections.abc import Sequence
@@ -39,6 +40,27 @@ def _shifted(name: str, low: int) -> Column:
     return (F.col(name) - F.lit(low)).alias(name)
 
 
+def _labels_between(times: list, t0, t1, snap: str) -> tuple[int, int]:
+    """The first and last of the labels for a range of times: those nearest to its ends (of two as near, the later), those
+    inside it, or those that enclose it. Labels must be in order of time, and both ends lie between them."""
+    if any(a > b for a, b in zip(times, times[1:], strict=False)):
+        raise ValueError("the labels are not in order of time")
+    if t0 > t1 or t0 < times[0] or t1 > times[-1]:
+        raise ValueError("the range of times reaches beyond the cube")
+    after = lambda end: bisect.bisect_left(times, end)
+    before = lambda end: bisect.bisect_right(times, end) - 1
+    if snap == "in":
+        return after(t0), before(t1)
+    if snap == "out":
+        return after(t0) if times[after(t0)] == t0 else before(t0), before(t1) if times[before(t1)] == t1 else after(t1)
+
+    def near(end, exact):
+        a, b = after(end), before(end)
+        return exact if times[exact] == end else (a if end - times[b] >= times[a] - end else b)
+
+    return near(t0, after(t0)), near(t1, before(t1))
+
+
 def crop(cube: Cube, extent: dict | None = None, iextent: dict | None = None, snap: str = "near") -> Cube:
     """By extent (left, right, bottom, top, t0, t1; any may be absent), or by index ranges x, y, t from 0, ends included."""
     g = cube.grid
@@ -55,14 +77,13 @@ def crop(cube: Cube, extent: dict | None = None, iextent: dict | None = None, sn
         t1 = DateTime.parse(e["t1"]) if "t1" in e else g.time(g.nt - 1)
         if t0.unit != g.unit or t1.unit != g.unit:
             raise ValueError(f"times must be given as {g.unit.name.lower()}s")
-        if g.labels is None:
+        if g.labels is not None and "t0" not in e and "t1" not in e:
+            ranges["t"] = (0, g.nt - 1)
+        elif g.labels is None:
             steps = [t.since(g.t0, g.unit) / g.dt.n for t in (t0, t1)]
             ranges["t"] = _snapped(*steps, snap)
         else:
-            inside = [i for i, t in enumerate(g.labels) if t0.at <= t.floor(g.unit).at <= t1.at]
-            if not inside:
-                raise ValueError("no time is left")
-            ranges["t"] = (inside[0], inside[-1])
+            ranges["t"] = _labels_between([t.floor(g.unit).at for t in g.labels], t0.at, t1.at, snap)
     for k, n in (("x", g.nx), ("y", g.ny), ("t", g.nt)):
         if ranges[k][1] < 0 or ranges[k][0] >= n or ranges[k][0] > ranges[k][1]:
             raise ValueError(f"nothing of {k} is left")

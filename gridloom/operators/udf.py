@@ -1,12 +1,13 @@
 """User functions, always over Arrow batches: by pixel in mapInPandas, by series, slice or chunk in applyInPandas.
 
 Arrays are numpy arrays of doubles, NaN where there is no value. Functions get what their form names: a dict of band
-values, a (band, time) or (band, y * x) matrix, or a (band, t, y, x) block. Output names may be left out; the function is then
+values (or of arrays of them), a (band, time) or (band, y * x) matrix, or a (band, t, y, x) block. Output names may be left out; the function is then
 tried on made-up values.
 """
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Sequence
 from dataclasses import replace
 
@@ -29,18 +30,26 @@ def _named(names: Sequence[str] | str | None, n: int) -> list[str]:
     return out
 
 
-def apply_pixel(cube: Cube, fun: Callable[[dict[str, float]], Sequence[float]], names=None, keep_bands: bool = False) -> Cube:
-    own = _named(names, _arity(fun(dict.fromkeys(cube.bands, 1.0))))
+def apply_pixel(cube: Cube, fun: Callable, names=None, keep_bands: bool = False, by_batch: bool = False) -> Cube:
+    """fun gets the bands' values of a cell; by batch, arrays of the bands' values of many cells, and gives an array (or
+    one number) for each name: one call for a batch in place of one for a cell."""
+    trial = fun({b: np.ones(1) for b in cube.bands} if by_batch else dict.fromkeys(cube.bands, 1.0))
+    own = _named(names, len(trial) if by_batch else _arity(trial))
     kept, bands = ([b for b in cube.bands if b not in own] if keep_bands else []), cube.bands
 
     def run(batches):
         for pdf in batches:
             values = pdf[list(bands)].to_numpy(float)
-            got = np.array([np.atleast_1d(np.asarray(fun(dict(zip(bands, row, strict=True))), float)) for row in values]).reshape(len(pdf), len(own))
+            if by_batch:
+                given = fun({b: values[:, k] for k, b in enumerate(bands)})
+                got = np.stack([np.broadcast_to(np.asarray(v, float), len(pdf)) for v in given], axis=1)
+            else:
+                got = np.array([np.atleast_1d(np.asarray(fun(dict(zip(bands, row, strict=True))), float)) for row in values]).reshape(len(pdf), len(own))
             yield pd.concat([pdf[["it", "iy", "ix", *kept]].reset_index(drop=True), pd.DataFrame(got, columns=own)], axis=1)
 
     out = [*kept, *own]
-    return Cube.make(cube.df.mapInPandas(run, cell_schema(out)), cube.grid, out, {"cube_type": "apply_pixel_function", "band_names": own, "keep_bands": keep_bands}, cube)
+    plan = {"cube_type": "apply_pixel_function", "band_names": own, "keep_bands": keep_bands, "by_batch": by_batch}
+    return Cube.make(cube.df.mapInPandas(run, cell_schema(out)), cube.grid, out, plan, cube)
 
 
 def _matrix(pdf: pd.DataFrame, bands: Sequence[str], place: np.ndarray, size: int) -> np.ndarray:
@@ -92,18 +101,35 @@ def apply_time(cube: Cube, fun: Callable[[np.ndarray], np.ndarray], names=None,
     return Cube.make(cube.df.groupBy("iy", "ix").applyInPandas(run, cell_schema(out)), cube.grid, out, {"cube_type": "apply_time_function", "names": own, "keep_bands": keep_bands}, cube)
 
 
-def chunk_apply(cube: Cube, fun: Callable[[np.ndarray], np.ndarray], names: Sequence[str], chunk: tuple[int, int, int] = (1, 256, 256)) -> Cube:
-    """fun gets blocks (band, t, y, x) and gives blocks of the same steps, rows and columns."""
+def _fitted(got: np.ndarray, n: int, shape: tuple[int, int, int]) -> np.ndarray:
+    """A function's block as one of n bands and the chunk's own shape. A dimension may come back with a length of one,
+    whose values then stand for all of it."""
+    got = got.reshape((n, *got.shape[-3:]) if got.ndim >= 3 else (n, 1, 1, 1))
+    if any(a not in (1, b) for a, b in zip(got.shape[1:], shape, strict=True)):
+        raise ValueError(f"the function gives a block of {got.shape[1:]} for a chunk of {shape}")
+    return np.broadcast_to(got, (n, *shape))
+
+
+def chunk_apply(cube: Cube, fun: Callable, names: Sequence[str], chunk: tuple[int, int, int] = (1, 256, 256)) -> Cube:
+    """fun gets blocks (band, t, y, x) and gives blocks of the same steps, rows and columns, or of one of them for all.
+    A function of two arguments also gets what the block is of: bands, srs, and the times, y and x of its cells (centres).
+    Chunks without a row are not seen."""
     from pyspark.sql import functions as F
 
     bands, own, g, (ct, cy, cx) = cube.bands, list(names), cube.grid, chunk
+    told = len(inspect.signature(fun).parameters) > 1
 
     def run(key, pdf):
         t0, y0, x0 = int(key[0]) * ct, int(key[1]) * cy, int(key[2]) * cx
         shape = min(ct, g.nt - t0), min(cy, g.ny - y0), min(cx, g.nx - x0)
         block = np.full((len(bands), *shape), np.nan)
         block[:, pdf["it"] - t0, pdf["iy"] - y0, pdf["ix"] - x0] = pdf[list(bands)].to_numpy(float).T
-        got = np.asarray(fun(block), float).reshape(len(own), *shape)
+        if told:
+            of = {
+                "bands": list(bands), "srs": g.srs, "t": [str(g.time(t0 + i)) for i in range(shape[0])], "y": g.top - (y0 + np.arange(shape[1]) + 0.5) * g.dy,
+                "x": g.left + (x0 + np.arange(shape[2]) + 0.5) * g.dx,
+            }
+        got = _fitted(np.asarray(fun(block, of) if told else fun(block), float), len(own), shape)
         t, y, x = np.indices(shape).reshape(3, -1)
         return pd.DataFrame({"it": t + t0, "iy": y + y0, "ix": x + x0, **dict(zip(own, got.reshape(len(own), -1), strict=True))})
 

@@ -1,7 +1,9 @@
 """Moving windows over time and space.
 
 Windows in time are range frames on the step index, partitioned by pixel. Windows in space scatter each cell to the
-windows that hold it and add these up: one shuffle, with partial aggregation, whatever the size of the window.
+windows that hold it and add these up: one shuffle, with partial aggregation. Windows of more than nine cells, whose
+reducers can be put together from parts, go by rows and then by columns: a cell is scattered to as many places as a
+window has columns, and then rows, not to their product.
 """
 
 from __future__ import annotations
@@ -10,13 +12,17 @@ import warnings
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..cube import Cube, every_cell
 from ..functions import reducers as R
 from .reduce import _calls
 
+#: Reducers that parts of a window can be put together for: the parts they need.
+PARTS = {"min": ("min",), "max": ("max",), "sum": ("sum",), "count": ("count",), "mean": ("sum", "count"), "prod": ("prod",)}
+#: Cells of a window up to which one shuffle of all its cells is less work than two of a row's and a column's.
+ONE_PASS = 9
 PADDINGS = ("REPLICATE", "REFLECT", "REFLECT_PIXEL", "CONSTANT")
 _SAME = {"EDGE": "REPLICATE", "SYMMETRIC": "REFLECT", "REFLECT101": "REFLECT_PIXEL"}
 
@@ -144,12 +150,14 @@ def window_space(
         out = got.select("it", "iy", "ix", *[value(i).alias(b) for i, b in enumerate(cube.bands)])
         return Cube.make(out, g, cube.bands, {**plan, "kernel": kernel}, cube)
     parsed = _calls(cube, calls, R.WINDOW_SPACE, None)
-    if mode == "CONSTANT":
-        # the border's copies of the constant join the cells as rows of their windows
-        rim = every_cell(cube.spark, g).where(outside > 0).withColumn("_k", F.explode(F.array_repeat(F.lit(constant), outside.cast("int"))))
-        rim = rim.join(cube.df.select("it").distinct(), "it", "left_semi")
-        parts = parts.select("it", "iy", "ix", *bands).unionByName(rim.select("it", "iy", "ix", *[F.col("_k").alias(b) for b in cube.bands]))
-    got = parts.groupBy("it", "iy", "ix").agg(*[R.neutral(n, cube.band(b)).alias(o) for n, b, o in parsed])
+    if size > ONE_PASS and half_y and half_x and all(n in PARTS for n, *_ in parsed):
+        got = _by_rows_and_columns(cube, parsed, half_y, half_x, repeat, constant if mode == "CONSTANT" else None, outside)
+    else:
+        if mode == "CONSTANT":
+            # the border's copies of the constant join the cells as rows of their windows
+            rim = _rim(cube, outside).withColumn("_k", F.explode(F.array_repeat(F.lit(constant), outside.cast("int"))))
+            parts = parts.select("it", "iy", "ix", *bands).unionByName(rim.select("it", "iy", "ix", *[F.col("_k").alias(b) for b in cube.bands]))
+        got = parts.groupBy("it", "iy", "ix").agg(*[R.neutral(n, cube.band(b)).alias(o) for n, b, o in parsed])
     names = [o for *_, o in parsed]
     # count, sum and prod have a value in windows that hold no cell at all
     empty = {o: {"count": 0.0, "sum": 0.0, "prod": 1.0}[n] for n, _, o in parsed if n in ("count", "sum", "prod")}
@@ -162,6 +170,43 @@ def window_space(
     return Cube.make(got, g, names, {**plan, "reducer_bands": list(calls), "keep_bands": keep_bands}, cube)
 
 
+def _rim(cube: Cube, outside: Column) -> DataFrame:
+    """Cells whose windows reach beyond the border, in steps that have a row."""
+    return every_cell(cube.spark, cube.grid).where(outside > 0).join(cube.df.select("it").distinct(), "it", "left_semi")
+
+
+def _by_rows_and_columns(cube: Cube, parsed: list[tuple[str, str, str]], half_y: int, half_x: int, repeat: str | None, constant: float | None, outside: Column) -> DataFrame:
+    """Windows put together from parts: of each row first, and of the rows then. Copies of a constant beyond the border
+    are not rows, but added by their number."""
+    g = cube.grid
+    wanted = list(dict.fromkeys((part, b) for n, b, _ in parsed for part in PARTS[n]))
+    name = {p: f"_p{i}" for i, p in enumerate(wanted)}
+    first = {"min": F.min, "max": F.max, "sum": F.sum, "count": F.count, "prod": F.product}
+    again = {**first, "count": F.sum}
+    rows = cube.df.withColumn("x", F.explode(_scattered(g.nx, half_x, repeat, "ix"))).select("it", "iy", F.col("x.to").alias("ix"), *[cube.band(b) for b in cube.bands])
+    rows = rows.groupBy("it", "iy", "ix").agg(*[first[part](cube.band(b)).alias(name[part, b]) for part, b in wanted])
+    cells = rows.withColumn("y", F.explode(_scattered(g.ny, half_y, repeat, "iy"))).select("it", F.col("y.to").alias("iy"), "ix", *name.values())
+    if constant is not None:
+        kinds = dict(cells.dtypes)
+        cells = cells.unionByName(_rim(cube, outside).select("it", "iy", "ix", *[F.lit(None).cast(kinds[c]).alias(c) for c in name.values()]))
+    got = cells.groupBy("it", "iy", "ix").agg(*[again[part](F.col(c)).alias(c) for (part, _), c in name.items()])
+    beyond = outside if constant is not None else F.lit(0)
+    copies = F.when(beyond > 0, F.lit(constant)) if constant is not None else F.lit(None).cast("double")
+
+    def value(n: str, b: str) -> Column:
+        part = lambda p: F.col(name[p, b])
+        if n in ("min", "max"):
+            return (F.least if n == "min" else F.greatest)(part(n), copies)
+        if n == "prod":
+            return F.coalesce(part(n), F.lit(1.0)) * F.pow(F.lit(constant or 0.0), beyond)
+        if n == "count":
+            return (F.coalesce(part(n), F.lit(0)) + beyond).cast("double")
+        total = F.coalesce(part("sum"), F.lit(0.0)) + beyond * F.lit(constant or 0.0)
+        return total if n == "sum" else F.try_divide(total, (F.coalesce(part("count"), F.lit(0)) + beyond).cast("double"))
+
+    return got.select("it", "iy", "ix", *[value(n, b).alias(o) for n, b, o in parsed])
+
+
 def _inner_weight(kernel: list[list[float]], ny: int, nx: int, half_y: int, half_x: int) -> Column:
     """The weights of a window's cells inside the grid, by its place: a prefix sum of the kernel."""
     rows, columns = len(kernel), len(kernel[0])

@@ -104,7 +104,7 @@ _NODES: dict[str, Callable[[SparkSession, dict, list[Cube], Mapping[str, Callabl
     "window_space": lambda s, n, c, f: c[0].window_space(*n.get("reducer_bands", []), window=n["window"], kernel=n.get("kernel"), keep_bands=n.get("keep_bands", False), pad=n["pad"]),
     "fill_time": lambda s, n, c, f: c[0].fill_time(n["method"]),
     "join_bands": lambda s, n, c, f: join.join_bands(dict(zip(n["prefixes"], c, strict=True))),
-    "apply_pixel_function": lambda s, n, c, f: c[0].apply_pixel(_function(f, n["cube_type"]), n["band_names"], n["keep_bands"]),
+    "apply_pixel_function": lambda s, n, c, f: c[0].apply_pixel(_function(f, n["cube_type"]), n["band_names"], n["keep_bands"], n.get("by_batch", False)),
     "reduce_time_function": lambda s, n, c, f: c[0].reduce_time(fun=_function(f, n["cube_type"]), names=n["names"]),
     "reduce_space_function": lambda s, n, c, f: c[0].reduce_space(fun=_function(f, n["cube_type"]), names=n["names"]),
     "apply_time_function": lambda s, n, c, f: c[0].apply_time(_function(f, n["cube_type"]), n["names"], n["keep_bands"]),

@@ -356,7 +356,7 @@ _add("stack_cube", _stack, _sql(E_SQL, "CASE it WHEN 1 THEN 0 ELSE 1 END;iy;ix",
 
 # ---------------------------------------------------------------- user functions, plans and files
 
-_add("udf_apply_pixel", lambda s, d: shown(cube_e(s, d).apply_pixel(lambda v: [v["value"] * 2 + v["n"]], ["out"])), _sql(E_SQL, "it;iy;ix", {"out": "value * 2 + n"}, "FROM c"))
+_add("udf_apply_pixel", lambda s, d: shown(cube_e(s, d).apply_pixel(lambda v: [v["value"] * 2 + v["n"]], ["out"], by_batch=True)), _sql(E_SQL, "it;iy;ix", {"out": "value * 2 + n"}, "FROM c"))
 _add("udf_reduce_time", lambda s, d: shown(cube_e(s, d).reduce_time(fun=lambda x: [np.nanmax(x[0]) - np.nanmin(x[0])], names=["range"])), _sql(E_SQL, "0;iy;ix", {"range": "max(value) - min(value)"}, "FROM c GROUP BY iy, ix"))
 _add("udf_reduce_space", lambda s, d: shown(cube_e(s, d).reduce_space(fun=lambda x: [np.nansum(x[1])], names=["n"])), _sql(E_SQL, "it;0;0", {"n": "sum(n)"}, "FROM c GROUP BY it"))
 _add("udf_apply_time", lambda s, d: shown(cube_e(s, d).apply_time(lambda x: np.nancumsum(x[1:2], axis=1), ["n"])), _sql(E_SQL, "it;iy;ix", {"n": "coalesce(sum(n) OVER (PARTITION BY iy, ix ORDER BY it), 0)"}, "FROM d"))

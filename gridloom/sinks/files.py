@@ -4,6 +4,7 @@ may be packed into small integers."""
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,12 +43,15 @@ class Packing:
         return own if self.nodata is None else F.when(x != self.nodata, own)
 
 
-def pack_minmax(type: str, min: float, max: float) -> Packing:  # noqa: A002
-    """A packing that uses a type's range for values from min to max; one stored value is for missing ones."""
+def pack_minmax(type: str, min: float, max: float, simplify: bool = False) -> Packing:  # noqa: A002
+    """A packing that uses a type's range for values from min to max; one stored value is for missing ones. Simplified,
+    the scale is the power of ten below it (values near max may then be cut off at the type's greatest)."""
     kind, low, high = PACKED[type]
     if kind == "float":
         return Packing(type)
-    return Packing(type, (max - min) / (high - low - 1), min - (low + 1) * (max - min) / (high - low - 1), float(low))
+    scale = (max - min) / (high - low - 1)
+    offset = min - (low + 1) * scale
+    return Packing(type, 10.0 ** math.floor(math.log10(scale)) if simplify else scale, offset, float(low))
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
@@ -90,14 +94,18 @@ def read_cube(spark: SparkSession, path: str, auto_unpack: bool = True) -> Cube:
     return Cube.make(df, grid, bands, {"cube_type": "file", "path": path})
 
 
-def write_images(cube: Cube, path: str, prefix: str = "cube_", overviews: int = 0) -> None:
-    """A folder for each step, named by its time, and coarser levels of cells (2, 4, 8 and so on) if asked for."""
+def write_images(cube: Cube, path: str, prefix: str = "cube_", overviews: int = 0, pack: Packing | None = None) -> None:
+    """A folder for each step, named by its time, and coarser levels of cells (2, 4, 8 and so on) if asked for. Each level
+    has a description beside it."""
     from ..operators.aggregate import aggregate_space
 
     name = F.element_at(F.array(*[F.lit(f"{prefix}{t}") for t in cube.grid.times()]), F.col("it") + 1)
     for level in range(overviews + 1):
         c = aggregate_space(cube, fact=2**level, method="mean") if level else cube
-        c.df.withColumn("image", name).write.mode("overwrite").partitionBy("image").parquet(f"{path}/level={level}")
+        df = c.df.select(*DIMS, *[(pack.pack(c.band(b)) if pack else c.band(b)).alias(b) for b in c.bands])
+        df.withColumn("image", name).write.mode("overwrite").partitionBy("image").parquet(f"{path}/level={level}")
+        meta = {"grid": c.grid.to_json(), "bands": list(c.bands), "pack": vars(pack) if pack else None, "prefix": prefix, "plan": c.plan}
+        _write_text(cube.spark, f"{path}/level={level}.json", json.dumps(meta, default=str))
 
 
 def as_array(cube: Cube) -> np.ndarray:

@@ -94,7 +94,7 @@ class Collection:
         return View(Grid.of(e, dx=size, dy=size, nt=4), "first", "near")
 
     def add(self, other: Collection) -> Collection:
-        """Images of another collection whose names are new here."""
+        """Images of another collection whose names are new here, with their metadata."""
         new = other.images.join(self.images.select("name"), "name", "left_anti").select(*self.images.columns)
         base = (self.images.agg(F.max("id")).first()[0] or 0) + 1
         # bands meet by name; unknown ones are appended
@@ -105,6 +105,7 @@ class Collection:
         refs = other.gdalrefs.join(new.select(F.col("id").alias("image_id")), "image_id", "left_semi").join(F.broadcast(ids), "band_id")
         return self.with_tables(
             bands=all_bands, images=self.images.unionByName(new.withColumn("id", F.col("id") + base)),
+            image_md=self.image_md.unionByName(other.image_md.join(new.select(F.col("id").alias("image_id")), "image_id", "left_semi").select((F.col("image_id") + base).alias("image_id"), "key", "value")),
             gdalrefs=self.gdalrefs.unionByName(refs.select((F.col("image_id") + base).alias("image_id"), F.col("to").alias("band_id"), "descriptor", "band_num")),
         )
 

@@ -245,3 +245,75 @@ def test_series_and_masks_take_one_pass(spark):
     # the hole, and the top row, whose centres lie at 4.5
     want[:, :, 3, 1] = want[:, :, 0] = np.nan
     assert np.allclose(files.as_array(inside), want, equal_nan=True)
+
+
+@pytest.mark.parametrize("pad", [None, "REPLICATE", "REFLECT_PIXEL", 7])
+def test_windows_by_rows_and_columns(spark, pad):
+    x = sample(nt=3, ny=6, nx=7, gaps=0.6)
+    # a step without a row, and a corner that no window's cells reach
+    x[:, 1] = np.nan
+    x[:, 2, :4, :3] = np.nan
+    mode = {None: "constant", 7: "constant", "REPLICATE": "edge", "REFLECT_PIXEL": "reflect"}[pad]
+    p = np.pad(x[0], ((0, 0), (2, 2), (1, 1)), mode=mode, **({"constant_values": np.nan if pad is None else 7} if mode == "constant" else {}))
+    if pad == 7:
+        p[1] = np.nan  # constants join steps that have a row
+    names = ("min", "max", "sum", "count", "mean", "prod")
+    cube = from_array(spark, x).window_space(*[f"{n}(b1)" for n in names], window=(5, 3), pad=pad)
+    got = dict(zip(names, files.as_array(cube), strict=True))
+    fun = {"min": np.nanmin, "max": np.nanmax, "sum": np.nansum, "count": lambda w: (~np.isnan(w)).sum(), "mean": np.nanmean, "prod": np.nanprod}
+    for n in names:
+        for t, i, j in np.ndindex(3, 6, 7):
+            w = p[t, i : i + 5, j : j + 3]
+            want = np.nan if np.isnan(w).all() and n in ("min", "max", "mean") else fun[n](w)
+            assert np.allclose(got[n][t, i, j], want, equal_nan=True), (n, t, i, j)
+    # as the plain way has them
+    median = files.as_array(from_array(spark, x).window_space("median(b1)", "mean(b1)", window=(5, 3), pad=pad))
+    assert np.allclose(median[1], got["mean"], equal_nan=True)
+
+
+def test_user_functions_by_batch(spark):
+    x = sample()
+    c = from_array(spark, x)
+    calls = [lambda v: [v["b1"] + 1, 3.0], lambda v: [v["b1"] + 1, 3.0]]
+    one, many = (files.as_array(c.apply_pixel(f, ["p", "q"], keep_bands=True, by_batch=k)) for k, f in enumerate(calls))
+    assert np.allclose(one, many, equal_nan=True)
+    again = codec.from_json(spark, codec.to_json(c.apply_pixel(calls[1], ["p", "q"], by_batch=True)), {"given": lambda node: c}, {"apply_pixel_function": calls[1]})
+    assert again.plan["by_batch"] and np.allclose(files.as_array(again), many[1:], equal_nan=True)
+
+
+def test_chunks_know_what_they_are_of(spark):
+    c = dummy_cube(spark, grid(5, 4, t1="2021-03-31"), 2)
+    srs = c.srs
+
+    def centres(block, of):
+        assert of["bands"] == ["band1", "band2"] and of["srs"] == srs and len(of["t"]) == block.shape[1]
+        y, x = np.meshgrid(of["y"], of["x"], indexing="ij")
+        return np.stack([np.broadcast_to(y, block.shape[1:]), np.broadcast_to(x, block.shape[1:])])
+
+    got = files.as_array(c.chunk_apply(centres, ["y", "x"], (2, 3, 3)))
+    assert (got[0, 2, :, 0] == [3.5, 2.5, 1.5, 0.5]).all() and (got[1, 0, 0] == [0.5, 1.5, 2.5, 3.5, 4.5]).all()
+    sums = files.as_array(c.chunk_apply(lambda b: b.sum(axis=(1, 2, 3)), ["a", "b"], (3, 2, 5)))
+    assert (sums == 30).all()
+    with pytest.raises(Exception, match="gives a block"):
+        c.chunk_apply(lambda b: b[:, :, :2], ["a", "b"], (1, 4, 5)).df.collect()
+
+
+def test_labelled_time_is_cropped(spark):
+    c = dummy_cube(spark, grid(2, 2, dt="P1D")).select_time(["2021-01-01", "2021-01-05", "2021-01-10", "2021-01-20"])
+    labels = lambda snap, t0, t1: [str(t) for t in c.crop({"t0": t0, "t1": t1}, snap=snap).grid.labels]
+    assert labels("in", "2021-01-02", "2021-01-18") == ["2021-01-05", "2021-01-10"]
+    assert labels("out", "2021-01-02", "2021-01-18") == ["2021-01-01", "2021-01-05", "2021-01-10", "2021-01-20"]
+    assert labels("near", "2021-01-02", "2021-01-15") == ["2021-01-01", "2021-01-05", "2021-01-10", "2021-01-20"]
+    assert labels("near", "2021-01-05", "2021-01-10") == labels("out", "2021-01-05", "2021-01-10") == ["2021-01-05", "2021-01-10"]
+    assert c.crop({"left": 1, "right": 2}).nt == 4
+    with pytest.raises(ValueError):
+        c.crop({"t0": "2020-12-01", "t1": "2021-01-10"})
+
+
+def test_packing(spark, tmp_path):
+    p = files.pack_minmax("int16", 0, 100, simplify=True)
+    assert np.isclose(p.scale, 0.001) and p.nodata == -32768
+    c = from_array(spark, sample())
+    files.write_images(c, str(tmp_path / "images"), pack=files.pack_minmax("uint8", -5, 5), overviews=1)
+    stored = spark.read.parquet(str(tmp_path / "images" / "level=0"))
+    assert dict(stored.dtypes)["b1"] == "smallint" and stored.count() == c.df.count() and (tmp_path / "images" / "level=1.json").exists()

@@ -48,6 +48,9 @@ def test_formats(spark):
     assert c.filter_bands(["nir"]).gdalrefs.count() == 1
     assert c.filter_datetime_range("2021-01-02", "2021-01-05").images.count() == 1
     assert c.add(c).images.count() == 2
+    told = c.with_tables(image_md=c.images.where("name LIKE 's2%'").selectExpr("id AS image_id", "'cloud' AS `key`", "'7' AS value"))
+    both = c.filter_datetime_range("2021-01-01", "2021-01-02").add(told)
+    assert [tuple(r) for r in both.image_md.join(both.images.selectExpr("id AS image_id", "name"), "image_id").select("name", "value").collect()] == [("s2_20210105", "7")]
 
 
 def test_stac(spark):
