@@ -170,6 +170,14 @@ for _r in R.WINDOW_SPACE:
         f"ws_{_r}", lambda s, d, r=_r, v=_v: shown(cube_e(s, d).apply_pixel(v, "value").window_space(f"{r}(value)", window=(3, 3))),
         _sql(E_SQL, "g.it;g.iy;g.ix", {f"value_{_r}": _w}, _left),
     )
+for _r in ("max", "sum", "count", "mean"):
+    # a window of 15 cells goes by rows and columns
+    _w = f"coalesce(sum({_ROOT}), 0)" if _r == "sum" else _AGG[_r].format(v=_ROOT)
+    _wide = _NEAR.replace("abs(c.iy - g.iy) <= 1", "abs(c.iy - g.iy) <= 2").replace("JOIN c", "LEFT JOIN c" if _r in ("sum", "count") else "JOIN c")
+    _add(
+        f"ws_wide_{_r}", lambda s, d, r=_r: shown(cube_e(s, d).apply_pixel(_ROOT, "value").window_space(f"{r}(value)", window=(5, 3))),
+        _sql(E_SQL, "g.it;g.iy;g.ix", {f"value_{_r}": _w}, _wide),
+    )
 
 
 def _folded(pad: str) -> str:
@@ -189,6 +197,10 @@ for _pad in ("REPLICATE", "REFLECT", "REFLECT_PIXEL"):
         f"ws_kernel_{_pad.lower()}", lambda s, d, pad=_pad: shown(cube_l(s, d).select_bands("price").window_space(kernel=_KERNEL, pad=pad)),
         _sql(L_SQL + _folded(_pad), "it;iy;ix", {"price": f"CASE WHEN count(price) = 9 THEN sum(price * ({_WEIGHT})) END"}, "FROM k GROUP BY it, iy, ix"),
     )
+    _add(
+        f"ws_padded_{_pad.lower()}", lambda s, d, pad=_pad: shown(cube_l(s, d).window_space("max(price)", "min(price)", window=(3, 3), pad=pad)),
+        _sql(L_SQL + _folded(_pad), "it;iy;ix", {"price_max": "max(price)", "price_min": "min(price)"}, "FROM k GROUP BY it, iy, ix"),
+    )
 _add(
     "ws_kernel_constant", lambda s, d: shown(cube_l(s, d).select_bands("price").window_space(kernel=_KERNEL, pad=10)),
     _sql(L_SQL + """, g AS (SELECT it, iy, ix FROM range(83) AS t(it), range(11) AS y(iy), range(50) AS x(ix)),
