@@ -28,10 +28,15 @@ UPPER[ord("A") : ord("Z") + 1] = True
 LETTERS[ord("A") : ord("Z") + 1] = LETTERS[ord("a") : ord("z") + 1] = True
 TERMINAL = np.zeros(256, bool)
 TERMINAL[list(b".!?\"';:)]")] = True
-#: Phrases of licences, notices and page furniture.
+#: First bytes of characters of two bytes, whose last words »-marks close as others do.
+TWO_BYTES = np.arange(0xC2, 0xE0, dtype=np.uint8)
+#: Phrases of licences, notices and page furniture, in the corpus's four languages: English, German, French and Spanish.
 BOILERPLATE = (
-    "licensed under", "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies",
+    "licensed under", "released under the", "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies",
     "javascript", "lorem ipsum", "click here", "subscribe to", "sign up", "log in", "back to top", "share this", "powered by",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "verwendet cookies", "hier klicken", "nach oben", "newsletter abonnieren", "lizenziert unter",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "utilise des cookies", "cliquez ici", "haut de page", "abonnez-vous", "sous licence",
+    "todos los derechos reservados", "términos de uso", "política de privacidad", "utiliza cookies", "haga clic aquí", "volver arriba", "suscríbete a", "bajo licencia",
 )
 
 
@@ -111,7 +116,10 @@ def failing_lines(lines: Lines, rules: LineRules) -> dict[str, np.ndarray]:
     letters = per(LETTERS[d])
     shouting = (per(UPPER[d]) > rules.upper_share * letters) & (n >= rules.upper_words)
     marked = per(MARKS[d]) > rules.marks_per_word * n
-    fragment = ~TERMINAL[d[end]] & (d[end] < 0x80) & (n < rules.fragment_words)
+    # characters of two bytes are letters and marks of scripts that put spaces between words; longer ones often are not
+    two = (d[end] >= 0x80) & np.isin(d[np.maximum(end - 1, 0)], TWO_BYTES)
+    closing = (d[np.maximum(end - 1, 0)] == 0xC2) & (d[end] == 0xBB)
+    fragment = (((d[end] < 0x80) & ~TERMINAL[d[end]]) | (two & ~closing)) & (n < rules.fragment_words)
     bars = per(BARS[d])
     echo = lines.total(lines.echoes(), lines.w0, lines.w1)
     phrase = np.zeros(len(n), bool)

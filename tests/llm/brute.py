@@ -26,8 +26,11 @@ def base_counts(text):
 
 
 PHRASES = (
-    "licensed under", "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies",
+    "licensed under", "released under the", "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use cookies",
     "javascript", "lorem ipsum", "click here", "subscribe to", "sign up", "log in", "back to top", "share this", "powered by",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "verwendet cookies", "hier klicken", "nach oben", "newsletter abonnieren", "lizenziert unter",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "utilise des cookies", "cliquez ici", "haut de page", "abonnez-vous", "sous licence",
+    "todos los derechos reservados", "términos de uso", "política de privacidad", "utiliza cookies", "haga clic aquí", "volver arriba", "suscríbete a", "bajo licencia",
 )
 
 
@@ -48,7 +51,7 @@ def judged(text):
         n, letters = len(w), sum(c.isascii() and c.isalpha() for c in line)
         bad = n >= 5 and sum("A" <= c <= "Z" for c in line) > 0.7 * letters
         bad |= sum(c in "#*$%&<>!" for c in line) > 0.34 * n
-        bad |= n < 3 and w[-1][-1].isascii() and w[-1][-1] not in ".!?\"';:)]"
+        bad |= n < 3 and ord(w[-1][-1]) < 0x800 and w[-1][-1] not in ".!?\"';:)]»"
         bars = sum(c in "|>" for c in line)
         bad |= bars >= 3 and bars > 0.15 * n
         bad |= line in seen or (n >= 8 and echo > 0.4 * n)

@@ -62,6 +62,15 @@ def test_quality_rules(spark, sf):
         assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
         assert r["kept"] == brute.judged(t), i
     clean = "This is a sentence of plain words that ends well.\n" + "Another one follows it, and says something else.\n" * 1
+    # lines that end in letters beyond ASCII, and notices in four languages
+    body = "Words that differ, one after another, number {}, and end as they should.\n"
+    plain = "".join(body.format(k) for k in range(5))
+    more = ["café", "«café»", "été", "中文", "Σ", "Alle Rechte vorbehalten.", "Haut de page : cliquez ici pour y aller.", "Todos los derechos reservados.", "Released under the MIT License."]
+    rows = [(k, plain + f"{line}\n" * 1 + f"{line} {line}\n" + f"{line} {k}\n" * 1) for k, line in enumerate(more)]
+    got = {r["doc_id"]: r for r in quality_rules.apply_rules(frame(spark, rows)).collect()}
+    assert [got[k]["kept"] for k in range(len(rows))] == [brute.judged(t) for _, t in rows]
+    assert [got[k]["failed_boilerplate"] for k in range(5, 9)] == [3] * 4
+    assert [got[k]["failed_punctuation"] for k in range(5)] == [3, 1, 3, 1, 3]
     rows = [(1, "Home | News | Contact | About us\n" + clean), (2, "Home | News | Contact | About"), (3, None)]
     assert {r["doc_id"]: r["text"] for r in quality_rules.clean_text(frame(spark, rows)).collect()} == {1: clean.rstrip("\n"), 2: "", 3: None}
 
