@@ -330,8 +330,9 @@ _add(
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
     path = F.format_string("/data/scene%03d_%s_%s.tif", F.col("c"), F.date_format("o_orderdate", "yyyyMMdd"), F.col("b"))
-    o = read(spark, d, "orders").select((F.col("o_custkey") % 200).alias("c"), "o_orderdate", F.explode(F.array(F.lit("red"), F.lit("nir"), F.lit("txt"))).alias("b"))
-    return o.select(path.alias("path")).distinct()
+    # of each day of a scene, before its paths are written: many orders share one
+    o = read(spark, d, "orders").select((F.col("o_custkey") % 200).alias("c"), F.col("o_orderdate").cast("date").alias("o_orderdate")).distinct()
+    return o.withColumn("b", F.explode(F.array(F.lit("red"), F.lit("nir"), F.lit("txt")))).select(path.alias("path")).distinct()
 
 
 _FORMAT = {"pattern": r".*\.tif", "images": {"pattern": r".*/(.+)_[a-z]+\.tif"}, "datetime": {"pattern": r".*_([0-9]{8})_.*", "format": "%Y%m%d"}, "bands": {"red": {"pattern": r".*_red\.tif"}, "nir": {"pattern": r".*_nir\.tif"}}}

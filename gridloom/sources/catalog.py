@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
@@ -13,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..grid import Grid, View
+from ..scratch import saved
 
 SCHEMAS = {
     "collection_md": "key string, value string",
@@ -171,7 +173,7 @@ def _parsed(text: Column, fmt: str) -> Column:
 
 def create_collection(files: DataFrame, fmt: str | dict) -> Collection:
     """files: path, and where known left, top, bottom, right, proj. Paths that do not match the format are left out;
-    files of one image name make one image."""
+    files of one image name make one image. Files are looked at once; what is found of them is kept as a scratch table."""
     f = FORMATS[fmt] if isinstance(fmt, str) else fmt
     spark, p = files.sparkSession, F.col("path")
     geo = {"left": "double", "top": "double", "bottom": "double", "right": "double", "proj": "string"}
@@ -184,17 +186,16 @@ def create_collection(files: DataFrame, fmt: str | dict) -> Collection:
         own = own.withColumn("proj", F.lit(f["srs"]))
     step = f["datetime"].get("bands", {}).get("dt")
     refs = []
-    for i, (band, b) in enumerate(f["bands"].items()):
-        hit = own.where(p.rlike(_whole(b["pattern"]))) if b.get("pattern") else own
-        refs.append(hit.withColumns({"band_id": F.lit(i + 1), "band_num": F.lit(int(b.get("band", 1)))}))
-    all_refs = refs[0]
-    for r in refs[1:]:
-        all_refs = all_refs.unionByName(r)
+    for i, b in enumerate(f["bands"].values()):
+        ref = F.struct(F.lit(i + 1).alias("band_id"), F.lit(int(b.get("band", 1))).alias("band_num"))
+        refs.append(F.when(p.rlike(_whole(b["pattern"])), ref) if b.get("pattern") else ref)
+    all_refs = own.select("*", F.inline(F.array_compact(F.array(*refs))))
     if step:
         # the bands of a file are steps of time, and each makes an image
         n = int(f["datetime"]["bands"].get("count", 1))
         shift = f"make_interval({', '.join(str(int(re.sub(r'[^0-9]', '', step))) + ' * k' if u == step[-1] else '0' for u in 'YMWD')})"
         all_refs = all_refs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumns({"when": F.expr(f"when + {shift}"), "band_num": F.col("k") + 1, "name": F.concat_ws("_", "name", F.col("k") + 1)})
+    all_refs = saved(all_refs)
     images = all_refs.groupBy("name").agg(*[F.first(c, ignorenulls=True).alias(c) for c in geo], F.min("when").alias("when"))
     images = _numbered(images)
     md = [(k, str(v)) for k, v in f.items() if isinstance(v, str)]
@@ -207,17 +208,26 @@ def create_collection(files: DataFrame, fmt: str | dict) -> Collection:
 def _numbered(images: DataFrame) -> DataFrame:
     """Adds id: the place of a name in the order of all names, from 1. Names are distinct. They are dealt to ranges, by
     bounds from those of smallest hash, and numbered within each after the counts of the ranges before: no task sees all."""
+    images = saved(images)
     n = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     some = sorted(r["name"] for r in images.select("name").orderBy(F.xxhash64("name"), "name").limit(SAMPLED * n).collect())
     bounds = [some[len(some) * k // n] for k in range(1, n)] if len(some) >= SAMPLED * n else []
     # a function of the name alone: the same however often, and on whatever partitions, it is computed
-    dealt = images.withColumn("_range", F.size(F.filter(F.lit(bounds), lambda b: b <= F.col("name"))) if bounds else F.lit(0))
+    dealt = images.withColumn("_range", _range(F.col("name"), bounds) if bounds else F.lit(0))
     counts = {r["_range"]: r["count"] for r in dealt.groupBy("_range").count().collect()}
     before = [0, *accumulate(counts.get(k, 0) for k in range(len(bounds)))]
     own = F.row_number().over(Window.partitionBy("_range").orderBy("name"))
     return dealt.withColumn("id", (own + F.lit(before)[F.col("_range")]).cast("int")).drop("_range")
 
 
+def _range(x: Column, bounds: Sequence[str]) -> Column:
+    """How many of some ascending bounds are at most x: x is compared with the first of each block, then with one block."""
+    w = math.isqrt(len(bounds))
+    below = lambda some: F.size(F.filter(some, lambda b: b <= x))
+    at = (F.greatest(below(F.lit(bounds[::w])), F.lit(1)) - 1) * w
+    return at + below(F.slice(F.lit(bounds), at + 1, F.lit(w)))
+
+
 def collection_from_lists(spark: SparkSession, files: Sequence[str], datetimes: Sequence[str], band_names: Sequence[str], one_band_per_file: bool = False, boxes: Sequence[tuple] | None = None, proj: str = "EPSG:4326") -> Collection:
     """Files with known times: each holds all bands, or one band each, in turn."""
     images, refs = {}, []
@@ -269,7 +279,8 @@ def stac_collection(
     own = F.coalesce(subs, F.array(F.struct(F.col("a.key").alias("band"), F.lit(1).alias("num"))))
     proj = F.coalesce(F.concat(F.lit("EPSG:"), F.col("a.value.`proj:epsg`")), F.concat(F.lit("EPSG:"), props["proj:epsg"]))
     proj = F.lit(srs) if srs_overwrite and srs else F.coalesce(proj, F.lit(srs))
-    rows = a.select("id", "bbox", "when", proj.alias("proj"), url(F.col("a.value.href")).alias("descriptor"), F.explode(own).alias("b"))
+    # one pass over the items: of equal ids all tables then show the same one
+    rows = saved(a.select("id", "bbox", "when", proj.alias("proj"), url(F.col("a.value.href")).alias("descriptor"), F.explode(own).alias("b")))
     names = [r["band"] for r in rows.select("b.band").distinct().orderBy("band").collect()]
     images = rows.groupBy(F.col("id").alias("name")).agg(F.first("bbox").alias("bbox"), F.first("when").alias("when"), F.first("proj", True).alias("proj"))
     images = _numbered(images)

@@ -4,11 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom import Grid, View
-from gridloom import cli
+from gridloom import cli, queries
 from gridloom.operators import geom
 from gridloom.plans import codec
 from gridloom.sinks import files
-from gridloom.sources.catalog import FORMATS, Collection, collection_formats, collection_from_lists, create_collection, stac_collection
+from gridloom.sources.catalog import FORMATS, Collection, _range, collection_formats, collection_from_lists, create_collection, stac_collection
 from gridloom.sources.images import raster_cube, stack_cube
 from gridloom.sources.points import points_to_cube
 from gridloom.streaming.ingest import append_files, windowed_cells
@@ -92,6 +92,42 @@ def test_ids_of_many_images(spark):
         assert c.gdalrefs.where(F.col("descriptor").contains(F.concat(F.lit("s"), F.lpad((F.col("image_id") - 1).cast("string"), 6, "0")))).count() == c.gdalrefs.count() == n
 
 
+def test_files_and_items_are_looked_at_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(x):
+        seen.add(1)
+        return x
+
+    told = F.udf(told, "string").asNondeterministic()
+    fmt = {"images": {"pattern": r"/(.+)_[0-9]{8}_[a-z]+\.tif"}, "datetime": {"pattern": r".*_([0-9]{8})_.*"}, "bands": {b: {"pattern": f".*_{b}.*"} for b in ("red", "nir")} | {"any": {"band": 3}}}
+    path = F.format_string("/s%03d_20210101_%s.tif", F.floor(F.col("id") / 3), F.element_at(F.array(F.lit("red"), F.lit("nir"), F.lit("txt")), (F.col("id") % 3 + 1).cast("int")))
+    item = F.format_string('{"id":"s%03d","bbox":[1,2,3,4],"properties":{"datetime":"2021-01-01T00:00:00Z"},"assets":{"a":{"href":"s%d"}}}', F.floor(F.col("id") / 3), F.col("id"))
+    made = (create_collection(spark.range(300).select(told(path).alias("path")), fmt), stac_collection(spark.range(300).select(told(item).alias("item"))))
+    assert [c.images.count() for c in made] == [100, 100] and [c.gdalrefs.count() for c in made] == [500, 100]
+    assert made[0].gdalrefs.where("(band_id = 1) = (descriptor LIKE '%red%') OR band_id = 3 AND band_num = 3").count() == 500
+    assert made[0].gdalrefs.join(made[0].images, F.col("id") == F.col("image_id")).where("contains(descriptor, name)").count() == 500
+    assert seen.value == 600
+
+
+def test_no_files_match(spark):
+    c = create_collection(spark.createDataFrame([("/x/other.txt",)], "path string"), "L8_SR")
+    assert (c.images.count(), c.gdalrefs.count(), c.bands.count()) == (0, 0, 17)
+
+
+def test_ranges_of_names(spark):
+    names = ["", "a", "b", "bb", "m", "zz", "é", "￿"]
+    table = spark.createDataFrame([(x,) for x in names], "name string")
+    for bounds in (["b"], ["a", "b", "c"], sorted(f"{x}{y}" for x in "abmz" for y in ("", "a", "b", "é", "z"))):
+        got = {r["name"]: r["k"] for r in table.select("name", _range(F.col("name"), bounds).alias("k")).collect()}
+        assert got == {x: sum(b <= x for b in bounds) for x in names}
+
+
+def test_orders_of_a_day_share_their_paths_before_they_are_written(spark, sf):
+    text = queries._files(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in text.split("Generate explode")[1]
+
+
 def test_saved_collections(spark, tmp_path):
     images(spark).save(str(tmp_path / "c"))
     c = Collection.open(spark, str(tmp_path / "c"))
