@@ -25,7 +25,7 @@ def _folder(spark: SparkSession) -> str | None:
     return found
 
 
-def saved(df: DataFrame) -> DataFrame:
+def saved(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Writes df to the shared scratch folder and reads it back, so that it is computed once however often it is used.
     Scratch tables go when the driver ends. On a cluster without such a folder df comes back as it is, and each use
     computes it again."""
@@ -34,7 +34,7 @@ def saved(df: DataFrame) -> DataFrame:
     if folder is None:
         return df
     path = f"{folder}/scratch-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     if not _written:
         atexit.register(_drop)
     _written.append((spark, path))

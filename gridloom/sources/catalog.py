@@ -201,14 +201,15 @@ def create_collection(files: DataFrame, fmt: str | dict) -> Collection:
     md = [(k, str(v)) for k, v in f.items() if isinstance(v, str)]
     bands = [(i + 1, n, b.get("type", ""), float(b.get("offset", 0)), float(b.get("scale", 1)), b.get("unit", ""), str(b.get("nodata", ""))) for i, (n, b) in enumerate(f["bands"].items())]
     out = images.select("id", "name", "left", "top", "bottom", "right", F.date_format("when", "yyyy-MM-dd'T'HH:mm:ss").alias("datetime"), "proj")
-    gdal = all_refs.join(images.select("name", "id"), "name").select(F.col("id").alias("image_id"), "band_id", F.col("path").alias("descriptor"), "band_num")
+    gdal = all_refs.join(images.select("name", "id").hint("merge"), "name").select(F.col("id").alias("image_id"), "band_id", F.col("path").alias("descriptor"), "band_num")
     return Collection.of(spark, collection_md=md, bands=bands, images=out, gdalrefs=gdal)
 
 
 def _numbered(images: DataFrame) -> DataFrame:
     """Adds id: the place of a name in the order of all names, from 1. Names are distinct. They are dealt to ranges, by
     bounds from those of smallest hash, and numbered within each after the counts of the ranges before: no task sees all."""
-    images = saved(images)
+    # not compressed, as Spark takes the size of files for that of rows when it decides on a broadcast
+    images = saved(images, "none")
     n = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     some = sorted(r["name"] for r in images.select("name").orderBy(F.xxhash64("name"), "name").limit(SAMPLED * n).collect())
     bounds = [some[len(some) * k // n] for k in range(1, n)] if len(some) >= SAMPLED * n else []
@@ -287,5 +288,5 @@ def stac_collection(
     box = F.col("bbox")
     out = images.select("id", "name", box[0].alias("left"), F.when(F.size(box) == 6, box[4]).otherwise(box[3]).alias("top"), box[1].alias("bottom"), F.when(F.size(box) == 6, box[3]).otherwise(box[2]).alias("right"), F.date_format("when", "yyyy-MM-dd'T'HH:mm:ss").alias("datetime"), "proj")
     number = F.create_map(*[v for i, n in enumerate(names) for v in (F.lit(n), F.lit(i + 1))]) if names else F.create_map()
-    refs = rows.join(images.select(F.col("id").alias("image_id"), F.col("name").alias("id")), "id").select("image_id", number[F.col("b.band")].alias("band_id"), "descriptor", F.col("b.num").alias("band_num"))
+    refs = rows.join(images.select(F.col("id").alias("image_id"), F.col("name").alias("id")).hint("merge"), "id").select("image_id", number[F.col("b.band")].alias("band_id"), "descriptor", F.col("b.num").alias("band_num"))
     return Collection.of(spark, images=out, gdalrefs=refs, bands=[(i + 1, n, "", 0.0, 1.0, "", "") for i, n in enumerate(names)])
