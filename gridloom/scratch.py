@@ -8,7 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[tuple[SparkSession, str]] = []
+#: File system and path of each, as they can be deleted after the session has stopped.
+_written: list[tuple] = []
 
 
 def _folder(spark: SparkSession) -> str | None:
@@ -37,14 +38,14 @@ def saved(df: DataFrame, compression: str = "zstd") -> DataFrame:
     df.write.option("compression", compression).parquet(path)
     if not _written:
         atexit.register(_drop)
-    _written.append((spark, path))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _written.append((at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at))
     return spark.read.schema(df.schema).parquet(path)
 
 
 def _drop() -> None:
-    for spark, path in _written:
+    for system, path in _written:
         try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            system.delete(path, True)
         except Exception:  # noqa: BLE001  the JVM may be gone already; the folder is scratch space
             return
